@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixmill.llm import frequent as fq
+from helixmill.llm import mixing as mx
 from helixmill.llm import quantiles as qt
+from helixmill.llm import sentences as se
+from helixmill.llm import tokenize as tk
 from helixmill.session import checkpointed, table
 
 #: Compression of the percentile digests: a rank error of at most 32 / 65536 of a group's values.
@@ -54,7 +59,41 @@ def p3_frequent(spark: SparkSession, d: str) -> DataFrame:
     return fq.candidates(cells, ["run_id"], 0.005, rows, width).unionByName(fq.candidates(every, ["run_id"], 0.002, rows, width)).withColumnRenamed("item", "seq")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_percentiles, p1_days, p3_found, p3_frequent)}
+def vocabulary() -> str:
+    """Place of the rank file byte_bpe_50k; its folder is the environment variable TOKENIZER_DIR, or where it is installed."""
+    return os.path.join(os.environ.get("TOKENIZER_DIR", "/opt/tokenizers"), "byte_bpe_50k.tiktoken")
+
+
+def p8_ids(spark: SparkSession, d: str) -> DataFrame:
+    return tk.encode_corpus(table(spark, d, "documents"), ["doc_id"], "text", vocabulary())
+
+
+def _mix(spark: SparkSession, d: str) -> tuple[DataFrame, list[mx.SourcePlan]]:
+    sized = tk.count_tokens(table(spark, d, "documents"), ["doc_id", "source"], "text", vocabulary())
+    docs, plans, schedules = mx.size_and_plan(sized, table(spark, d, "source_weights"))
+    return mx.mix(docs, plans, schedules), plans
+
+
+def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    """The documents of the mix with their training positions."""
+    return _mix(spark, d)[0]
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Target and actual share of each source in that mix."""
+    return mx.shares(*_mix(spark, d))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return se.split_sentences(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "prose_spans"))
+
+
+def p10_sentences(spark: SparkSession, d: str) -> DataFrame:
+    """Sentence units of whole documents, header and quoted matter included."""
+    return se.split_sentences(table(spark, d, "documents"), "doc_id", "text")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_percentiles, p1_days, p3_found, p3_frequent, p8_ids, p9_mix, p9_shares, p10_found, p10_sentences)}
 
 _RC = "reverse(translate({s}, 'ACGT', 'TGCA'))"
 SQL = {
