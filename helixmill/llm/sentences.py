@@ -39,8 +39,9 @@ CLOSERS_OF_LISTS = frozenset("etc usw etcétera usf u.s.w т.д т.п т.д др
 ORDINAL_LEADS = frozenset("der die das den dem des am im vom zum zur beim ans ins seit bis ab pro jeder jeden jedem jede dieser diesem diesen dieses kl den det de til".split())
 
 _WORD = re.compile(r"[^\W\d_](?:[\w'’\-]|\.(?=\w))*")
-_STOPPED = re.compile(r"([^\W\d_](?:[\w'’\-]|\.(?=\w))*)\.(?:(?=[,;:])|\s+(?=(\S{1,4})))")
-_OPENING = re.compile(r"(?:^|\n[ \t\r]*\n\s*|[!?]\s+)([^\W\d_](?:[\w'’\-])*)")
+# Possessive repeats and the look-behind keep the work linear in long unbroken strings.
+_STOPPED = re.compile(r"(?<![\w'’\-.])([^\W\d_](?:[\w'’\-]|\.(?=\w))*+)\.(?:(?=[,;:])|\s++(?=(\S{1,4})))")
+_OPENING = re.compile(r"(?:\A\s*+|\n\n|[!?]\s++)([^\W\d_](?:[\w'’\-])*)")
 _AMID = re.compile(r"[^\W\d_A-Z],?\s([^\W\d_](?:[\w'’\-])*)")
 TOTAL, LOW, NUM, CAP, START, MID = range(6)
 
@@ -53,7 +54,7 @@ def count_words(text: str, into: Counter) -> None:
         for w, c in _STOPPED.findall(text):
             # a capital within the next few letters (mRNA) speaks for a sentence start as one in front does
             into[(NUM if c[:1].isdigit() else LOW if c.islower() or not c[:1].isalpha() else CAP, w)] += 1
-    for w in _OPENING.findall(text):
+    for w in _OPENING.findall(_EMPTY_LINE.sub("\n\n", text)):
         if w[0].isupper():
             into[(START, w)] += 1
     for w in _AMID.findall(text):
@@ -80,27 +81,40 @@ _NEXT = re.compile(r"[^\W_](?:[\w'’\-])*")
 def _protected(p: str) -> list[tuple[int, int]]:
     """Outermost quotations, brackets and dash-marked speech of a paragraph, as (opening, closing) places."""
     stack: list[tuple[str, int]] = []
+    open_: Counter = Counter()
     out: list[tuple[int, int]] = []
     n = len(p)
+
+    def push(c: str, i: int) -> None:
+        stack.append((c, i))
+        for x in _PAIRS[c]:
+            open_[x] += 1
+
+    def shut(at: int) -> None:
+        for c, _ in stack[at:]:
+            for x in _PAIRS[c]:
+                open_[x] -= 1
+        del stack[at:]
+
     for m in _PROTECT.finditer(p):
         c, i = m.group(), m.start()
         before = p[i - 1] if i else " "
         after = p[i + 1] if i + 1 < n else " "
-        at = next((k for k in range(len(stack) - 1, -1, -1) if c in _PAIRS[stack[k][0]]), -1)
         if c in "'’" and before.isalnum() and after.isalnum():
             continue
+        at = next((k for k in range(len(stack) - 1, -1, -1) if c in _PAIRS[stack[k][0]]), -1) if open_[c] else -1
         if c == "—":
             if at >= 0 and before.isspace():
                 out.append((stack[at][1], i))
-                del stack[at:]
-            elif at < 0 and not after.isspace() and (i == 0 or before.isspace() and not p[:i].rstrip()[-1:].isalnum()):
-                stack.append((c, i))
+                shut(at)
+            elif at < 0 and not after.isspace() and (i == 0 or before.isspace() and not p[max(0, i - 64) : i].rstrip()[-1:].isalnum()):
+                push(c, i)
             continue
         if at >= 0 and not (c in "'\"" and before.isspace() and not after.isspace()):
             out.append((stack[at][1], i))
-            del stack[at:]
+            shut(at)
         elif c in _PAIRS and not (c in "'\"" and (after.isspace() or before.isalnum())) and not (c in "‘" and before.isalnum()):
-            stack.append((c, i))
+            push(c, i)
     out.sort()
     top: list[tuple[int, int]] = []
     for o, s in out:
@@ -276,6 +290,7 @@ def _ends(p: str, run: str, k: int, e: int, inner: str, ev: Evidence) -> bool:
 def _paragraph(p: str, base: int, ev: Evidence, out: list[tuple[int, int]]) -> None:
     cuts: list[int] = []
     guards = _protected(p) if _PROTECT.search(p) else []
+    openings = {o for o, _ in guards}
     g = 0
     for m in _MARKS.finditer(p):
         k, e = m.start(), m.end()
@@ -284,12 +299,13 @@ def _paragraph(p: str, base: int, ev: Evidence, out: list[tuple[int, int]]) -> N
         inner = ""
         if g < len(guards) and guards[g][0] < k:
             o, s = guards[g]
-            gap = p[e : s + 1]
-            if any(x not in _SHUTS and not x.isspace() for x in gap):
+            while e <= s and (p[e] in _SHUTS or p[e].isspace() or e == s):
+                e += 1
+            if e <= s:
                 continue
-            inner, e = p[o], s + 1
+            inner = p[o]
         while e < len(p) and p[e] in _SHUTS and not (p[e] in "\"'" and e + 1 < len(p) and not p[e + 1].isspace() and p[e + 1] not in ".,;:!?)"):
-            if any(o == e for o, _ in guards):
+            if e in openings:
                 break
             e += 1
         if _ends(p, m.group(), k, e, inner, ev):
@@ -320,29 +336,21 @@ def sentences(text: str, ev: Evidence, base: int = 0) -> list[tuple[int, int]]:
     return out
 
 
-def _whole(docs: DataFrame, key: str, text: str, spans: DataFrame | None) -> DataFrame:
-    """doc_id, text and the list of spans (from, to) of each document; all of the text where there are no spans to heed."""
+def _pieces(docs: DataFrame, key: str, text: str, spans: DataFrame | None) -> DataFrame:
+    """(doc_id, at, piece): each span with its place in the text, or all of the text where there are no spans to heed.
+
+    Spans meet their document once; the pieces are then kept as a checkpoint, as both passes read them.
+    """
     d = docs.select(F.col(f"`{key}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text")).filter("text is not null")
     if spans is None:
-        return d.select("doc_id", "text", F.array(F.lit(0).cast("long")).alias("starts"), F.array(F.length("text").cast("long")).alias("stops"))
-    # a document's spans are part of its row: the list is as long as the writer's pieces of prose in one text
-    s = spans.filter("span_from < span_to").groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("span_from", "span_to"))).alias("s"))
-    return d.join(s, "doc_id").select("doc_id", "text", F.col("s.span_from").alias("starts"), F.col("s.span_to").alias("stops"))
-
-
-def _pieces(b: pa.RecordBatch) -> Iterator[tuple[int, int, str]]:
-    """Row, start and text of each span of a batch; spans are held to the text."""
-    starts, stops = b.column(2), b.column(3)
-    for i in range(b.num_rows):
-        text = b.column(1)[i].as_py()
-        for lo, hi in zip(starts[i].as_py(), stops[i].as_py()):
-            lo = max(0, lo)
-            if lo < min(hi, len(text)):
-                yield i, lo, text[lo:hi]
+        return d.select("doc_id", F.lit(0).cast("long").alias("at"), F.col("text").alias("piece"))
+    s = spans.filter("span_from < span_to and span_to > 0").select("doc_id", F.greatest("span_from", F.lit(0)).cast("int").alias("lo"), F.col("span_to").cast("int").alias("hi")).distinct()
+    j = d.join(s, "doc_id")
+    return checkpointed(j.select("doc_id", F.col("lo").cast("long").alias("at"), F.substr("text", F.col("lo") + 1, F.col("hi") - F.col("lo")).alias("piece")).filter("piece <> ''"))
 
 
-def corpus_counts(whole: DataFrame) -> dict[str, tuple[int, ...]]:
-    """Counts of the words of all spans; at most 1 / MIN_SHARE entries, whatever the corpus."""
+def corpus_counts(pieces: DataFrame) -> dict[str, tuple[int, ...]]:
+    """Counts of the words of all pieces; at most 1 / MIN_SHARE entries, whatever the corpus."""
     schema = T.StructType([T.StructField("kind", T.IntegerType()), T.StructField("word", T.StringType()), T.StructField("n", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -353,15 +361,15 @@ def corpus_counts(whole: DataFrame) -> dict[str, tuple[int, ...]]:
             return pa.RecordBatch.from_arrays([pa.array([k for k, _ in keys], pa.int32()), pa.array([w for _, w in keys], pa.string()), pa.array(list(seen.values()), pa.int64())], schema.names)
 
         for b in batches:
-            for _, _, piece in _pieces(b):
-                count_words(piece, seen)
-            if len(seen) > 1 << 18:
-                yield send()
-                seen.clear()
+            for piece in b.column(2):
+                count_words(piece.as_py(), seen)
+                if len(seen) > 1 << 18:
+                    yield send()
+                    seen.clear()
         if seen:
             yield send()
 
-    by = whole.mapInArrow(run, schema).groupBy("word").agg(*[F.sum(F.when(F.col("kind") == k, F.col("n")).otherwise(0)).alias(f"n{k}") for k in range(6)])
+    by = pieces.mapInArrow(run, schema).groupBy("word").agg(*[F.sum(F.when(F.col("kind") == k, F.col("n")).otherwise(0)).alias(f"n{k}") for k in range(6)])
     by = checkpointed(by)
     all_ = by.agg(F.sum("n0")).first()[0] or 0
     rows = by.filter(F.col("n0") >= all_ * MIN_SHARE).toArrow()
@@ -376,19 +384,21 @@ def split_sentences(docs: DataFrame, key: str, text: str, spans: DataFrame | Non
     counts once and one beyond the text is cut to it. Null, empty and blank texts have no sentences; a text of any length is
     segmented whole; documents repeated under one key give their sentences each time; an empty table gives an empty result.
     """
-    whole = _whole(docs, key, text, spans)
-    corpus = docs.sparkSession.sparkContext.broadcast(corpus_counts(whole))
-    schema = T.StructType([T.StructField("doc_id", whole.schema["doc_id"].dataType), T.StructField("sent_from", T.LongType()), T.StructField("sent_to", T.LongType())])
+    pieces = _pieces(docs, key, text, spans)
+    corpus = docs.sparkSession.sparkContext.broadcast(corpus_counts(pieces))
+    schema = T.StructType([T.StructField("doc_id", pieces.schema["doc_id"].dataType), T.StructField("sent_from", T.LongType()), T.StructField("sent_to", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows, found = [], []
-            for i, lo, piece in _pieces(b):
-                got = sentences(piece, Evidence(corpus.value, piece), lo)
+            rows: list[int] = []
+            found: list[tuple[int, int]] = []
+            for i, (at, piece) in enumerate(zip(b.column(1).to_pylist(), b.column(2))):
+                text = piece.as_py()
+                got = sentences(text, Evidence(corpus.value, text), at)
                 rows.extend([i] * len(got))
                 found.extend(got)
             if found:
                 ends = np.array(found, np.int64)
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows)), pa.array(ends[:, 0]), pa.array(ends[:, 1])], schema.names)
 
-    return whole.mapInArrow(run, schema)
+    return pieces.mapInArrow(run, schema)
