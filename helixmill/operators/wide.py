@@ -1,22 +1,29 @@
 """Attribute-value rows into wide tables, by log-structured upserts.
 
-A batch of (entity, attribute, value) rows becomes a *delta*: one sparse wide row per entity, a map from attribute to a
-cell that carries a version and a mergeable state. Deltas are runs sorted by entity; ``compact`` merges any number of
-runs cell by cell, and merging is associative, commutative and idempotent, so batches may be delivered again, late or in
-any order. ``to_wide`` reads typed columns off a compacted run.
+Each task turns its batches of (entity, attribute, value) rows into *deltas*: sparse wide rows, sorted by entity, whose cells
+carry a version and a mergeable state. ``compact`` brings the deltas of any number of runs together by entity and merges
+them cell by cell; merging is associative and commutative, so batches may come late and in any order. ``to_wide`` reads typed
+columns off a compacted run. An entity that holds a third of all rows arrives as one sparse row per batch.
 
 A cell holds: ``version`` and ``latest`` (the value with the latest version, ties by the larger value), the number of
 values and of readable values, and the smallest and largest typed value in a canonical spelling: they differ exactly if
 the readable values are not one distinct typed value. Cells of type list hold the sorted distinct values instead.
-Cell states are combined before each shuffle, so an entity that holds a third of all rows arrives as its few cells.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+#: Rows of one batch, that is of one delta.
+BATCH_ROWS = 1 << 18
 
 BLANKS = " \t\r\n\f\x0b"
 SQL_TYPES = {"text": "string", "integer": "bigint", "number": "double", "flag": "boolean", "day": "date", "list": "array<string>"}
@@ -42,42 +49,97 @@ def typed_spelling(v: Column, kind: Column) -> Column:
     return F.when(kind == "integer", integer).when(kind == "number", number).when(kind == "flag", flag).when(kind == "day", day).otherwise(v)
 
 
-def _assemble(cells: DataFrame, entity: str) -> DataFrame:
-    cell = F.struct(*[F.col(c) for c in ("kind", "version", "latest", "n_values", "n_readable", "lo", "hi", "items")])
-    wide = cells.groupBy(entity).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("attr"), cell.alias("cell"))))).alias("cells"))
-    return wide.sortWithinPartitions(entity)
-
-
-def _items(of: Column) -> Column:
-    return F.array_sort(F.array_distinct(F.flatten(F.collect_set(of))))
+def _ranked(c: pa.ChunkedArray) -> tuple[np.ndarray, pa.Array]:
+    """Ranks of a column's values among its sorted distinct ones, -1 for null, and those values."""
+    e = pc.dictionary_encode(c.combine_chunks())
+    e = e.combine_chunks() if isinstance(e, pa.ChunkedArray) else e
+    order = pc.sort_indices(e.dictionary).to_numpy()
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    at = e.indices.to_numpy(zero_copy_only=False)
+    null = e.is_null().to_numpy(zero_copy_only=False)
+    if not len(order):
+        return np.full(len(null), -1, np.int64), e.dictionary
+    return np.where(null, -1, rank[np.where(null, 0, at).astype(np.int64)]), e.dictionary.take(pa.array(order))
+
+
+def _pick(values: pa.Array, rank: np.ndarray) -> pa.Array:
+    """Values by rank; -1 is null."""
+    return values.take(pa.array(rank, mask=rank < 0)) if len(values) else pa.nulls(len(rank), values.type)
+
+
+def _delta(t: pa.Table, cell_type: pa.DataType) -> tuple[pa.Array, pa.Array]:
+    """Entities, sorted, and their sparse cells, of one batch (entity, attr, kind, version, v, typed)."""
+    (ent, ents), (att, atts), (kind, kinds), (ver, vers), (val, vals), (typ, typs) = (_ranked(t.column(i)) for i in range(6))
+    cell = ent * len(atts) + att
+    # within a cell: rows with values last, by version, then by value
+    order = np.lexsort((val, ver, val >= 0, cell))
+    cell, kind, ver, val, typ = (x[order] for x in (cell, kind, ver, val, typ))
+    head = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1])))
+    last = np.concatenate((head[1:], [len(cell)])) - 1
+    lists = kinds.to_pylist().index("list") if "list" in kinds.to_pylist() else -2
+    is_list = kind == lists
+    typ = np.where(is_list, -1, typ)
+    n_values = np.add.reduceat((val >= 0).astype(np.int64), head)
+    n_readable = np.add.reduceat(np.where(is_list, val >= 0, typ >= 0).astype(np.int64), head)
+    hi = np.maximum.reduceat(typ, head)
+    lo = np.minimum.reduceat(np.where(typ < 0, np.iinfo(np.int64).max, typ), head)
+    lo = np.where(hi < 0, -1, lo)
+    some = is_list & (val >= 0)
+    pair = np.unique(np.repeat(np.arange(len(head)), np.diff(np.concatenate((head, [len(cell)]))))[some] * (len(vals) + 1) + val[some])
+    sizes = np.bincount(pair // (len(vals) + 1), minlength=len(head))
+    items = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), _pick(vals, pair % (len(vals) + 1)))
+    best = np.where(val[last] >= 0, last, -1)
+    at = np.maximum(best, 0)
+    fields = [_pick(kinds, kind[head]), _pick(vers, np.where(best < 0, -1, ver[at])), _pick(vals, np.where(best < 0, -1, val[at])), pa.array(n_values), pa.array(n_readable), _pick(typs, lo), _pick(typs, hi), items]
+    fields = [f.cast(cell_type.field(i).type) for i, f in enumerate(fields)]
+    owner = cell[head] // len(atts)
+    first = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
+    offsets = pa.array(np.concatenate((first, [len(owner)])), pa.int32())
+    cells = pa.MapArray.from_arrays(offsets, _pick(atts, cell[head] % len(atts)), pa.StructArray.from_arrays(fields, fields=list(cell_type)))
+    return _pick(ents, owner[first]), cells
 
 
 def to_delta(df: DataFrame, types: DataFrame, entity: str, attr: str, value: str, version: str) -> DataFrame:
-    """The sparse wide delta of one batch: ``entity``, ``cells`` (map from attribute to cell).
+    """Sparse wide deltas of a table's batches: ``entity``, ``cells`` (map from attribute to cell), a row per entity and batch.
 
     Attribute names are trimmed and lower-cased. ``types`` has the columns ``attr`` and ``value_type``; an attribute not
     listed is text; of an attribute listed more than once the smallest type holds. Rows with a null entity, or a null or
     blank attribute, name no cell and are left out. A row without a value still makes its entity and cell appear, with no
-    values. Columns of other names are not read. ``version`` is any orderable column; a null version is the oldest.
+    values. Columns of other names are not read. ``version`` is any orderable column; a null version is the oldest. Map
+    tasks only: no shuffle.
     """
     name = lambda c: F.lower(F.trim(c, F.lit(BLANKS)))
     known = types.groupBy(name(F.col("attr")).alias("attr")).agg(F.min("value_type").alias("kind"))
     rows = df.select(F.col(f"`{entity}`").alias(entity), name(F.col(f"`{attr}`").cast("string")).alias("attr"), clean_value(F.col(f"`{value}`").cast("string")).alias("v"), F.col(f"`{version}`").alias("version"))
     rows = rows.filter(F.col(entity).isNotNull() & (F.col("attr") != ""))
     rows = rows.join(known, "attr", "left").withColumn("kind", F.coalesce("kind", F.lit("text")))
-    rows = rows.withColumn("typed", F.when(F.col("kind") != "list", typed_spelling(F.col("v"), F.col("kind"))))
-    seen = F.when(F.col("v").isNotNull(), F.struct("version", F.col("v").alias("value")))
-    cells = rows.groupBy(entity, "attr").agg(
-        F.first("kind").alias("kind"),
-        F.max(seen).alias("top"),
-        F.count("v").alias("n_values"),
-        F.sum(F.when(F.col("kind") == "list", F.col("v").isNotNull().cast("long")).otherwise(F.col("typed").isNotNull().cast("long"))).alias("n_readable"),
-        F.min("typed").alias("lo"),
-        F.max("typed").alias("hi"),
-        F.array_sort(F.collect_set(F.when(F.col("kind") == "list", F.col("v")))).alias("items"),
-    )
-    cells = cells.select(entity, "attr", "kind", F.col("top.version").alias("version"), F.col("top.value").alias("latest"), "n_values", "n_readable", "lo", "hi", "items")
-    return _assemble(cells, entity)
+    rows = rows.select(entity, "attr", "kind", "version", "v", F.when(F.col("kind") != "list", typed_spelling(F.col("v"), F.col("kind"))).alias("typed"))
+    text, whole = T.StringType(), T.LongType()
+    cell = T.StructType([T.StructField(n, k) for n, k in (("kind", text), ("version", rows.schema["version"].dataType), ("latest", text), ("n_values", whole), ("n_readable", whole), ("lo", text), ("hi", text), ("items", T.ArrayType(text)))])
+    schema = T.StructType([T.StructField(entity, rows.schema[entity].dataType), T.StructField("cells", T.MapType(text, cell))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        n = 0
+
+        def send() -> pa.RecordBatch:
+            t = pa.Table.from_batches(held)
+            version_type = t.schema.field(3).type
+            shape = pa.struct([("kind", pa.string()), ("version", version_type), ("latest", pa.string()), ("n_values", pa.int64()), ("n_readable", pa.int64()), ("lo", pa.string()), ("hi", pa.string()), ("items", pa.list_(pa.string()))])
+            return pa.RecordBatch.from_arrays(list(_delta(t, shape)), schema.names)
+
+        for b in batches:
+            if b.num_rows:
+                held.append(b)
+                n += b.num_rows
+            if n >= BATCH_ROWS:
+                yield send()
+                held, n = [], 0
+        if held:
+            yield send()
+
+    return rows.mapInArrow(run, schema)
 
 
 def explode_cells(delta: DataFrame, entity: str) -> DataFrame:
@@ -86,18 +148,18 @@ def explode_cells(delta: DataFrame, entity: str) -> DataFrame:
 
 
 def compact(*runs: DataFrame, entity: str) -> DataFrame:
-    """One run out of any number of runs, cell by cell; a single run is compact already.
+    """One sparse wide row per entity out of any number of runs, merged cell by cell in one shuffle by entity.
 
     The counts of values add up, so a batch must not be compacted twice into the counts; the typed state and the latest
-    value don't change if it is.
+    value don't change if it is. The result is itself a run, sorted by entity within its partitions.
     """
-    if len(runs) == 1:
-        return runs[0]
-    cells = reduce(DataFrame.unionByName, [explode_cells(r, entity) for r in runs])
+    deltas = reduce(DataFrame.unionByName, runs).repartition(entity)
+    cells = explode_cells(deltas, entity)
     top = F.max(F.when(F.col("latest").isNotNull(), F.struct("version", F.col("latest").alias("value"))))
-    cells = cells.groupBy(entity, "attr").agg(F.min("kind").alias("kind"), top.alias("top"), F.sum("n_values").alias("n_values"), F.sum("n_readable").alias("n_readable"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), _items(F.col("items")).alias("items"))
-    cells = cells.select(entity, "attr", "kind", F.col("top.version").alias("version"), F.col("top.value").alias("latest"), "n_values", "n_readable", "lo", "hi", "items")
-    return _assemble(cells, entity)
+    cells = cells.groupBy(entity, "attr").agg(F.min("kind").alias("kind"), top.alias("top"), F.sum("n_values").alias("n_values"), F.sum("n_readable").alias("n_readable"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
+    cell = F.struct("kind", F.col("top.version").alias("version"), F.col("top.value").alias("latest"), "n_values", "n_readable", "lo", "hi", "items")
+    wide = cells.groupBy(entity).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("attr"), cell.alias("cell"))))).alias("cells"))
+    return wide.sortWithinPartitions(entity)
 
 
 def unsettled(run: DataFrame, entity: str) -> DataFrame:
