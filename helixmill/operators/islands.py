@@ -117,7 +117,9 @@ def _local_merge(keys: int) -> object:
 
 def _sorted(df: DataFrame, keys: list[str], start: str) -> DataFrame:
     cols = [F.col(f"`{k}`") for k in keys]
-    return checkpointed(df.repartitionByRange(*cols, F.col(start)).sortWithinPartitions(*cols, F.col(start)))
+    # the row's number sets rows of one start apart, so that many copies spread over partitions too
+    tied = df.withColumn("__tie", F.monotonically_increasing_id())
+    return checkpointed(tied.repartitionByRange(*cols, F.col(start), F.col("__tie")).sortWithinPartitions(*cols, F.col(start)).drop("__tie"))
 
 
 def _carries(df: DataFrame, keys: list[str]) -> tuple[dict[int, tuple], int]:
