@@ -139,12 +139,12 @@ def candidates(cells: DataFrame, keys: list[str], share: float, rows: int, width
     return out.filter(F.col("high") >= F.col("total") * share)
 
 
-def frequent(df: DataFrame, keys: list[str], item: str, weight: str | None, share: float, rows: int = 3, width: int = 2048) -> DataFrame:
+def frequent(df: DataFrame, keys: list[str], item: str, weight: str | None, share: float, rows: int = 2, width: int = 4096) -> DataFrame:
     """Candidates for ``share`` of their group's weight with sure bounds; see ``sketch`` for what counts."""
     return candidates(checkpointed(sketch(df, keys, item, weight, rows, width)), keys, share, rows, width)
 
 
-def frequent_exact(df: DataFrame, keys: list[str], item: str, weight: str | None, share: float, rows: int = 3, width: int = 2048) -> DataFrame:
+def frequent_exact(df: DataFrame, keys: list[str], item: str, weight: str | None, share: float, rows: int = 2, width: int = 4096) -> DataFrame:
     """Items with at least ``share`` of their group's weight: the keys and ``item``.
 
     The sketch's bounds decide; only candidates whose bounds span the threshold are counted, by one more pass over the data

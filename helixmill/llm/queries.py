@@ -41,10 +41,8 @@ def p1_days(spark: SparkSession, d: str) -> DataFrame:
 def _kmers(spark: SparkSession, d: str) -> DataFrame:
     """Usable k-mers, each delivery once, in canonical form."""
     rows = table(spark, d, "kmers").select("run_id", "batch_no", "seq", "kmer_count").filter("kmer_count is not null")
-    # deliveries meet on a salted batch, so that no batch or run is gathered in one task
-    salt = F.pmod(F.xxhash64("seq"), F.lit(64)).alias("salt")
-    rows = rows.select("*", salt).repartition("run_id", "batch_no", "salt").dropDuplicates(["run_id", "batch_no", "salt", "seq", "kmer_count"])
-    return rows.select("run_id", fq.canonical(F.col("seq")).alias("seq"), "kmer_count").filter("seq is not null")
+    # copies are dropped before the shuffle and after it, and no run or batch is gathered in one task
+    return rows.distinct().select("run_id", fq.canonical(F.col("seq")).alias("seq"), "kmer_count").filter("seq is not null")
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -53,7 +51,7 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p3_frequent(spark: SparkSession, d: str) -> DataFrame:
     """Frequent k-mers per run and (run_id null) over all runs, with bounds of their counts, from one set of cells."""
-    rows, width = 3, 2048
+    rows, width = 2, 4096
     cells = checkpointed(fq.sketch(_kmers(spark, d), ["run_id"], "seq", "kmer_count", rows, width))
     every = checkpointed(fq.merge(cells.withColumn("run_id", F.lit(None).cast("long")), ["run_id"]))
     return fq.candidates(cells, ["run_id"], 0.005, rows, width).unionByName(fq.candidates(every, ["run_id"], 0.002, rows, width)).withColumnRenamed("item", "seq")
