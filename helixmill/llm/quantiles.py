@@ -53,6 +53,12 @@ def node_bounds(node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return lo, np.where(np.isfinite(hi), hi, big)
 
 
+def _value(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """The value reported for bounds: of one cell the edge next to zero, where short numbers lie; else the upper bound."""
+    cell = hi - lo <= np.maximum(np.abs(lo), np.abs(hi)) * 2.0**-19 + 1e-300
+    return np.where(cell & (lo >= 0), lo, hi)
+
+
 def _sum_by(gid: np.ndarray, node: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     if not len(gid):
         return gid, node, count
@@ -261,13 +267,17 @@ def merge(parts: DataFrame, keys: list[str], k: int, tasks: int) -> DataFrame:
 
 
 def combine(digests: DataFrame, keys: list[str], k: int) -> DataFrame:
-    """Digests of coarser groups (all days, all studies) out of finer ones, by node addition and one more compression.
+    """Digests of coarser groups (all days, all studies) out of finer ones, by node addition and compression.
 
-    Counts of equal nodes are added before and after the shuffle, so its size is that of the distinct nodes.
+    Finer digests are merged at most about FAN_IN at a time: they are dealt to parts by the hash of their keys, as many as
+    the optimizer's size of the data asks for. Counts of equal nodes are added before and after the shuffle.
     """
-    cols = [F.col(f"`{c}`") for c in keys]
-    added = digests.groupBy(*cols, "node").agg(F.sum("count").alias("count"))
-    return merge(added.withColumn("part", F.lit(0)), keys, k, 1)
+    finer = [c for c in digests.columns if c not in {*keys, "node", "count"}]
+    size = int(str(digests._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    parts = min(max(1, size // 40 // (3 * k)), 1 << 24) if finer else 1
+    part = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in finer]), F.lit(parts)).cast("int") if finer else F.lit(0)
+    added = digests.select(*[F.col(f"`{c}`") for c in keys], part.alias("part"), "node", "count").groupBy(*[F.col(f"`{c}`") for c in keys], "part", "node").agg(F.sum("count").alias("count"))
+    return merge(added, keys, k, parts)
 
 
 def percentiles(digests: DataFrame, keys: list[str], qs: list[float], k: int) -> DataFrame:
@@ -311,8 +321,7 @@ def percentiles(digests: DataFrame, keys: list[str], qs: list[float], k: int) ->
             low = [ranked(gid, by_lo, count, lo, base, r, every) for r in (r0, r1)]
             mix = lambda v: v[0] * (1 - part) + v[1] * part  # noqa: B023, E731
             below, above = mix(low), mix(high)
-            # a leaf is narrower than any use of its value: its middle; else the upper edge, whose rank is bounded
-            est = np.where(exactly, below / 2 + above / 2, above)
+            est = mix([_value(lo_, hi_) for lo_, hi_ in zip(low, high)])
             out.append((q, n, est, below, above, np.where(exactly, 0, DEPTH * (n // k))))
         for q, *cols in out:
             yield pa.RecordBatch.from_arrays([*groups.columns(every), pa.array(np.full(m, q)), *[pa.array(c) for c in cols]], schema.names)
