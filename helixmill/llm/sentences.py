@@ -35,6 +35,12 @@ TITLES = frozenset(
 )
 # Abbreviations that close a list and so end a sentence before a capital.
 CLOSERS_OF_LISTS = frozenset("etc usw etcétera usf u.s.w т.д т.п т.д др κ.λπ κλπ κ.ά".split())
+# Abbreviations before a number or a small letter.
+REFERENCES = frozenset(
+    """fig figs vol vols no nos nr pp pg pgs ch chap chs sec secs eq ex ref tab art al app approx ca cca cf vs incl est max min
+    abb bd kap bsp evtl ggf bzw vgl sog inkl zzgl geb env éd réf núm pág págs aprox ed cap
+    рис табл стр гл ок см им илл σελ εικ βλ περ κεφ αρ पृ सं""".split()
+)
 # Words before a German or Nordic ordinal number.
 ORDINAL_LEADS = frozenset("der die das den dem des am im vom zum zur beim ans ins seit bis ab pro jeder jeden jedem jede dieser diesem diesen dieses kl den det de til".split())
 
@@ -53,7 +59,9 @@ def count_words(text: str, into: Counter) -> None:
     if "." in text:
         for w, c in _STOPPED.findall(text):
             # a capital within the next few letters (mRNA) speaks for a sentence start as one in front does
-            into[(NUM if c[:1].isdigit() else LOW if c.islower() or not c[:1].isalpha() else CAP, w)] += 1
+            d = c.lstrip("“„«»‘‚‹「『（([【《〈\"'—–-¿¡")
+            if c == "" or d:
+                into[(NUM if d[:1].isdigit() else LOW if d == "" or d.islower() else CAP, w)] += 1
     for w in _OPENING.findall(_EMPTY_LINE.sub("\n\n", text)):
         if w[0].isupper():
             into[(START, w)] += 1
@@ -145,12 +153,14 @@ class Evidence:
 
     def abbreviation(self, w: str) -> bool:
         """Whether a stop after ``w`` belongs to it."""
-        if len(w) == 1 or w in TITLES or w in CLOSERS_OF_LISTS or _DOTTED.match(w):
+        if len(w) == 1 or w in TITLES or w in CLOSERS_OF_LISTS or _DOTTED.match(w) or w.lower() in REFERENCES and w.lower() not in ("no", "max", "min", "art", "tab", "app", "ex", "ed", "est", "cap", "al"):
             return True
         for source in (self.of, self._known):
             total, low, num, cap = (source(k, w) for k in (TOTAL, LOW, NUM, CAP))
             stopped, bare = low + num + cap, total - low - num - cap
-            if stopped >= 2 and bare * 2 <= stopped and low + num >= 0.2 * stopped:
+            # a number may start a sentence: it speaks for an abbreviation only where the corpus mostly has one there
+            inside = low + (num if source != self.of and num * 2 >= stopped else 0)
+            if stopped >= 2 and bare * 2 <= stopped and inside >= 0.2 * stopped and inside:
                 return True
             if source == self.of:
                 if bare > 0 and not low:
@@ -162,7 +172,7 @@ class Evidence:
     def counted(self, w: str) -> bool:
         """Whether a number after the stop of ``w`` is what the corpus mostly has there (no. 7)."""
         low, num, cap = (self._known(k, w) for k in (LOW, NUM, CAP))
-        return num >= 3 and num * 2 >= low + num + cap
+        return w.lower() in REFERENCES or num >= 3 and num * 2 >= low + num + cap
 
     def always_stopped(self, w: str) -> bool:
         """Whether the corpus knows ``w`` with a stop only."""
