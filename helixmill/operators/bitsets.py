@@ -19,7 +19,8 @@ from helixmill.session import checkpointed
 
 def from_arrays(df: DataFrame, set_id: str, positions: str) -> DataFrame:
     """Bitsets from rows with arrays of positions; nulls and repetitions are dropped."""
-    return df.select(F.col(set_id).alias("set_id"), F.explode(positions).cast("bigint").alias("pos")).filter("pos is not null").distinct()
+    rows = df.select(F.col(set_id).alias("set_id"), F.explode(positions).alias("pos"))
+    return rows.select("set_id", F.col("pos").cast("bigint").alias("pos")).filter("pos is not null").distinct()
 
 
 def from_rows(df: DataFrame, set_id: str, pos: str) -> DataFrame:
