@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from helixmill.llm.tokenize import spread
 from helixmill.session import checkpointed
 
 #: Least share of all words that a word of the corpus counts needs: at most 500,000 entries reach the tasks.
@@ -353,9 +354,9 @@ def _pieces(docs: DataFrame, key: str, text: str, spans: DataFrame | None) -> Da
     """
     d = docs.select(F.col(f"`{key}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text")).filter("text is not null")
     if spans is None:
-        return d.select("doc_id", F.lit(0).cast("long").alias("at"), F.col("text").alias("piece"))
+        return spread(d).select("doc_id", F.lit(0).cast("long").alias("at"), F.col("text").alias("piece"))
     s = spans.filter("span_from < span_to and span_to > 0").select("doc_id", F.greatest("span_from", F.lit(0)).cast("int").alias("lo"), F.col("span_to").cast("int").alias("hi")).distinct()
-    j = d.join(s, "doc_id")
+    j = spread(d).join(s, "doc_id")
     return checkpointed(j.select("doc_id", F.col("lo").cast("long").alias("at"), F.substr("text", F.col("lo") + 1, F.col("hi") - F.col("lo")).alias("piece")).filter("piece <> ''"))
 
 

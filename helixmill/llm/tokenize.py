@@ -14,7 +14,6 @@ from __future__ import annotations
 import base64
 from array import array
 from collections.abc import Iterable, Iterator
-from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -92,7 +91,7 @@ class Encoder:
                 self.whole[chars] = i
         self.automaton.make_automaton()
         self.words = regex.compile(pattern)
-        self.memo, self.sizes = _Memo(self.word), _Memo(lambda w: len(self.word(w)))
+        self.memo, self.sizes = _Memo(lambda w: array("i", self.word(w)).tobytes()), _Memo(lambda w: len(self.word(w)))
         self.pairs: dict[tuple[int, int], bool] = {}
 
     def neighbours(self, a: int, b: int) -> bool:
@@ -148,17 +147,15 @@ class Encoder:
     def split(self, text: str) -> Iterable[str]:
         return self.words.findall(text) if len(text) <= LONG_TEXT else (m.group() for m in self.words.finditer(text))
 
-    def encode_into(self, text: str, out: array) -> None:
-        """Append the ids of a text."""
-        out.extend(chain.from_iterable(map(self.memo.__getitem__, self.split(text))))
+    def packed(self, text: str) -> bytes:
+        """The ids of a text as 32-bit integers."""
+        return b"".join(map(self.memo.__getitem__, self.split(text)))
 
     def count(self, text: str) -> int:
         return sum(map(self.sizes.__getitem__, self.split(text)))
 
     def encode(self, text: str) -> list[int]:
-        out = array("i")
-        self.encode_into(text, out)
-        return out.tolist()
+        return np.frombuffer(self.packed(text), np.int32).tolist()
 
 
 def load_encoder(path: str, pattern: str = PATTERN) -> Encoder:
@@ -183,6 +180,18 @@ def shared_encoder(spark: SparkSession, path: str):
     return get
 
 
+#: A table with less than this for each core may be read by fewer tasks than there are cores.
+SPREAD_BYTES = 4 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A small table dealt evenly to all cores, since what follows is bound by them; a larger one as its scan splits it."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    return df.repartition(cores) if size < cores * SPREAD_BYTES else df
+
+
 def encode_corpus(df: DataFrame, keep: list[str], text: str, path: str, ids: str = "ids") -> DataFrame:
     """The columns ``keep`` and the token ids of ``text`` under the rank file ``path``; no shuffle, no special tokens.
 
@@ -199,16 +208,16 @@ def encode_corpus(df: DataFrame, keep: list[str], text: str, path: str, ids: str
         enc = encoder()
         for b in batches:
             # ids leave in pieces of a bounded size, whatever the length of the texts
-            lo, out, ends = 0, array("i"), [0]
-            for i in range(b.num_rows):
-                enc.encode_into(b.column(len(keep))[i].as_py(), out)
-                ends.append(len(out))
-                if len(out) > 1 << 20 or i == b.num_rows - 1:
-                    lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(out, np.int32) if len(out) else np.zeros(0, np.int32)))
+            lo, held, ends = 0, [], [0]
+            for i, text in enumerate(b.column(len(keep))):
+                held.append(enc.packed(text.as_py()))
+                ends.append(ends[-1] + len(held[-1]) // 4)
+                if ends[-1] > 1 << 20 or i == b.num_rows - 1:
+                    lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(held), np.int32)))
                     yield pa.RecordBatch.from_arrays([*[c.slice(lo, i + 1 - lo) for c in b.columns[: len(keep)]], lists], schema.names)
-                    lo, out, ends = i + 1, array("i"), [0]
+                    lo, held, ends = i + 1, [], [0]
 
-    return src.mapInArrow(run, schema)
+    return spread(src).mapInArrow(run, schema)
 
 
 def count_tokens(df: DataFrame, keep: list[str], text: str, path: str, count: str = "n_tokens") -> DataFrame:
@@ -225,4 +234,4 @@ def count_tokens(df: DataFrame, keep: list[str], text: str, path: str, count: st
             sizes = [enc.count(x.as_py()) for x in b.column(len(keep))]
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(sizes, pa.int64())], schema.names)
 
-    return src.mapInArrow(run, schema)
+    return spread(src).mapInArrow(run, schema)
