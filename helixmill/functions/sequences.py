@@ -63,7 +63,10 @@ def trailing_zeros(x: Column) -> Column:
 
 
 def register(spark: SparkSession) -> None:
-    """SQL names for the sequence functions: ``revcomp(seq)``, ``canonical(seq)``, ``strand_code(s)``."""
+    """SQL names for the sequence functions: ``revcomp(seq)``, ``canonical(seq)``, ``strand_code(s)``, and the table function
+    ``kmers(seq, k)``, the windows of the runs of A, C, G, T."""
     spark.sql("create or replace temporary function revcomp(seq string) returns string return reverse(translate(seq, 'ACGT', 'TGCA'))")
     spark.sql("create or replace temporary function canonical(seq string) returns string return least(seq, reverse(translate(seq, 'ACGT', 'TGCA')))")
     spark.sql("create or replace temporary function strand_code(s string) returns int return case s when '+' then 1 when '-' then -1 else 0 end")
+    spark.sql("""create or replace temporary function kmers(seq string, k int) returns table (kmer string) return
+        select explode(flatten(transform(filter(split(translate(upper(seq), 'U', 'T'), '[^ACGT]+'), s -> length(s) >= k), s -> transform(sequence(1, length(s) - k + 1), i -> substring(s, i, k)))))""")

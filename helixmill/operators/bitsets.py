@@ -10,8 +10,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from helixmill.session import checkpointed
@@ -56,10 +59,14 @@ def spans(bits: DataFrame) -> DataFrame:
 
 
 def from_runs(runs: DataFrame, set_id: str, order: str, bit: str, length: str) -> DataFrame:
-    """Bits of a run-length form: rows (set, order, bit, length); a set's runs fit one task."""
-    w = Window.partitionBy("set_id").orderBy("o").rowsBetween(Window.unboundedPreceding, -1)
+    """Bits of a run-length form: rows (set, order, bit, length).
+
+    Lengths are summed up over all sets in one range-partitioned order; a set's own sums start where it starts.
+    """
     d = runs.select(F.col(set_id).alias("set_id"), F.col(order).alias("o"), F.col(bit).cast("int").alias("b"), F.col(length).cast("bigint").alias("n"))
-    d = d.withColumn("s", F.coalesce(F.sum("n").over(w), F.lit(0))).filter("b = 1 and n > 0")
+    d = checkpointed(running_total(d, ["set_id", "o"], "n", "e").withColumn("s", F.col("e") - F.col("n")))
+    base = d.groupBy("set_id").agg(F.min("s").alias("base"))
+    d = d.filter("b = 1 and n > 0").join(base, "set_id").withColumn("s", F.col("s") - F.col("base"))
     return d.select("set_id", F.explode(F.sequence(F.col("s"), F.col("s") + F.col("n") - 1)).alias("pos"))
 
 
@@ -143,14 +150,34 @@ def bitmap_counts(bitmaps: DataFrame) -> DataFrame:
     return bitmaps.groupBy("set_id").agg(F.sum(F.bitmap_count("bitmap")).alias("cnt"))
 
 
+def bitmap_bytes(bitmaps: DataFrame) -> DataFrame:
+    """(set_id, bytes) that the binary form of each set takes; it depends on the encoding, not on the set alone."""
+    return bitmaps.groupBy("set_id").agg(F.sum(F.octet_length("bitmap")).cast("bigint").alias("bytes"))
+
+
 def overlap_counts(bits: DataFrame) -> DataFrame:
-    """(a, b, n11) of all pairs a < b of sets that share a position; the sets of a position meet as one list.
+    """(a, b, n11) of all pairs a < b of sets that share a position; null sets have no pairs.
 
-    Work is the number of pairs of sets per position: for few sets over many positions, not for many sets over few.
+    Sets meet as bitmaps, a bucket of 32,768 positions at a time, and a bucket's pairs are counted by one matrix product; so
+    what is sent on is at most a row per pair and bucket, however many positions two sets share.
     """
-    x = bits.select(F.col("set_id").alias("a"), "pos")
-    y = bits.select(F.col("set_id").alias("b"), "pos")
-    return x.join(y, "pos").filter("a < b").groupBy("a", "b").agg(F.count("*").alias("n11"))
+    maps = to_bitmaps(bits.filter("set_id is not null"))
+    kind = maps.schema["set_id"].dataType
+    schema = T.StructType([T.StructField("a", kind), T.StructField("b", kind), T.StructField("n11", T.LongType())])
+
+    def pairs(t: pa.Table) -> pa.Table:
+        ids = t.column("set_id").combine_chunks()
+        order = pc.sort_indices(ids)
+        ids = ids.take(order)
+        packed = np.stack([np.frombuffer(v, np.uint8) for v in t.column("bitmap").take(order).to_pylist()])
+        n = np.zeros((len(ids), len(ids)), np.int64)
+        for lo in range(0, packed.shape[1], 256):
+            part = np.unpackbits(packed[:, lo : lo + 256], axis=1).astype(np.float32)
+            n += (part @ part.T).astype(np.int64)
+        i, j = np.nonzero(np.triu(n, 1))
+        return pa.table([ids.take(pa.array(i)), ids.take(pa.array(j)), pa.array(n[i, j])], names=["a", "b", "n11"])
+
+    return maps.groupBy("bucket").applyInArrow(pairs, schema).groupBy("a", "b").agg(F.sum("n11").alias("n11"))
 
 
 def phi(bits: DataFrame, size: int | None = None, pairs: DataFrame | None = None) -> DataFrame:
@@ -183,17 +210,17 @@ def best_phi(bits: DataFrame, size: int | None = None) -> DataFrame:
     return phi(bits, size).filter("phi is not null").orderBy(F.col("phi").desc(), "a", "b").limit(1)
 
 
-def running_total(df: DataFrame, key: str, value: str, out: str, descending: bool = False) -> DataFrame:
-    """Rows with the sum of ``value`` over all rows up to theirs in the order of ``key``, ties included.
+def running_total(df: DataFrame, keys: list[str], value: str, out: str, descending: bool = False) -> DataFrame:
+    """Rows with the sum of ``value`` over all rows up to theirs in the order of ``keys``, ties included.
 
     Rows are range-partitioned; the sums of the partitions, one row each, are carried in, so no task orders everything.
     """
-    order = F.col(key).desc() if descending else F.col(key).asc()
-    d = checkpointed(df.repartitionByRange(order).withColumn("__p", F.spark_partition_id()))
+    order = [F.col(k).desc() if descending else F.col(k).asc() for k in keys]
+    d = checkpointed(df.repartitionByRange(*order).withColumn("__p", F.spark_partition_id()))
     front = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
     sums = d.groupBy("__p").agg(F.sum(value).alias("__s"))
     sums = sums.select("__p", F.coalesce(F.sum("__s").over(front), F.lit(0)).alias("__f"))
-    w = Window.partitionBy("__p").orderBy(order).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    w = Window.partitionBy("__p").orderBy(*order).rangeBetween(Window.unboundedPreceding, Window.currentRow)
     return d.withColumn("__w", F.sum(value).over(w)).join(sums, "__p").select(*df.columns, (F.col("__w") + F.col("__f")).alias(out))
 
 
@@ -206,14 +233,20 @@ def random_bitset(spark: SparkSession, n: int = 25, top: int = 10_000, length: i
     return periods_and_gaps(d, ["k"], "from_pos", "to_pos").filter("kind = 'period'").select("from_pos", "to_pos")
 
 
-def mc_overlap(a: DataFrame, b: DataFrame, n: int, seed: int = 0) -> DataFrame:
+#: Intervals of a set that go to a task as arrays: 16 bytes each.
+MC_LIMIT = 1 << 20
+
+
+def mc_overlap(a: DataFrame, b: DataFrame, n: int, seed: int = 0, limit: int = MC_LIMIT) -> DataFrame:
     """Monte-Carlo overlap of two sets of disjoint inclusive intervals (from_pos, to_pos): (observed, n, n_at_least).
 
     Each of ``n`` trials shuffles the runs of ones and of zeros of both sets apart, zips them with a random phase, and counts
     the overlap again; ``n_at_least`` is the number of trials with at least the observed overlap. Trials spread over tasks;
-    the interval lists go to each of them, so they must fit one task.
+    up to ``limit`` intervals a set, the lists go to each of them; beyond, the runs themselves are shuffled over the cluster.
     """
     spark = a.sparkSession
+    if max(a.count(), b.count()) > limit:
+        return _mc_spread(a, b, n, seed)
     lists = [sorted(map(tuple, d.select("from_pos", "to_pos").collect())) for d in (a, b)]
     held = spark.sparkContext.broadcast([np.array(x, np.int64).reshape(-1, 2) for x in lists])
 
@@ -253,3 +286,49 @@ def mc_overlap(a: DataFrame, b: DataFrame, n: int, seed: int = 0) -> DataFrame:
 
     out = spark.range(n).mapInPandas(run, "observed long, n long, hits long")
     return out.agg(F.max("observed").alias("observed"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("hits"), F.lit(0)).alias("n_at_least"))
+
+
+def _laid_out(iv: DataFrame, trials: int, seed: int, buckets: int) -> DataFrame:
+    """(trial, start, end) of the runs of ones of a set after each trial's shuffle of its runs of ones and of zeros.
+
+    Runs are ordered by a hash; a run's place is the sum over the buckets of the order before its own, and within it.
+    """
+    from helixmill.operators.islands import periods_and_gaps
+
+    runs = checkpointed(periods_and_gaps(iv.select(F.lit(0).alias("k"), "from_pos", "to_pos"), ["k"], "from_pos", "to_pos"))
+    size = (F.col("to_pos") - F.col("from_pos") + 1).alias("n")
+    ones = runs.filter("kind = 'period'").select(F.col("from_pos").alias("id"), size)
+    lead = runs.filter("kind = 'period'").agg(F.min("from_pos").alias("n")).filter("n is not null").select(F.lit(-1).cast("long").alias("id"), "n")
+    zeros = runs.filter("kind = 'gap'").select(F.col("from_pos").alias("id"), size).unionByName(lead)
+
+    def ordered(d: DataFrame, salt: int, out: str) -> DataFrame:
+        d = d.withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(trials - 1))))
+        d = d.withColumn("u", F.shiftrightunsigned(F.xxhash64("id", "trial", F.lit(seed), F.lit(salt)), 11) / F.lit(float(1 << 53)))
+        d = d.withColumn("bucket", F.floor(F.col("u") * buckets))
+        front = Window.partitionBy("trial").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+        sums = d.groupBy("trial", "bucket").agg(F.sum("n").alias("s"), F.count("*").alias("c"))
+        sums = sums.select("trial", "bucket", F.coalesce(F.sum("s").over(front), F.lit(0)).alias("fs"), F.coalesce(F.sum("c").over(front), F.lit(0)).alias("fc"))
+        w = Window.partitionBy("trial", "bucket").orderBy("u", "id")
+        d = d.withColumn("r", F.row_number().over(w)).withColumn("b", F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+        return d.join(sums, ["trial", "bucket"]).select("trial", (F.col("r") + F.col("fc")).alias("rank"), F.col("n").alias(f"{out}_n"), (F.col("b") + F.col("fs")).alias(f"{out}_before"))
+
+    both = ordered(ones, 1, "one").join(ordered(zeros, 2, "zero"), ["trial", "rank"])
+    first = F.xxhash64("trial", F.lit(seed)) % 2 == 0
+    start = F.col("one_before") + F.col("zero_before") + F.when(first, F.col("zero_n")).otherwise(0)
+    return both.select("trial", start.alias("start"), (start + F.col("one_n") - 1).alias("end"))
+
+
+def _mc_spread(a: DataFrame, b: DataFrame, n: int, seed: int, buckets: int = 4096) -> DataFrame:
+    """The same trials with every run a row: for sets of any size."""
+    from helixmill.operators.joins import interval_join
+
+    def overlap(x: DataFrame, y: DataFrame) -> DataFrame:
+        j = interval_join(x, y, 0, 0, chrom="trial")
+        shared = F.least("A__end", "B__end") - F.greatest("A__start", "B__start") + 1
+        return j.groupBy("A__trial").agg(F.sum(shared).alias("c")).withColumnRenamed("A__trial", "trial")
+
+    as_is = lambda d: d.select(F.lit(0).alias("trial"), F.col("from_pos").alias("start"), F.col("to_pos").alias("end"))
+    seen = overlap(as_is(a), as_is(b)).agg(F.coalesce(F.sum("c"), F.lit(0)).alias("observed"))
+    tries = overlap(_laid_out(a, n, seed, buckets), _laid_out(b, n, seed + 1, buckets))
+    every = a.sparkSession.range(n).select(F.col("id").cast("int").alias("trial")).join(tries, "trial", "left").select(F.coalesce("c", F.lit(0)).alias("c"))
+    return every.crossJoin(F.broadcast(seen)).groupBy("observed").agg(F.count("*").alias("n"), F.count_if(F.col("c") >= F.col("observed")).alias("n_at_least"))

@@ -28,6 +28,13 @@ def ranges(df: DataFrame) -> DataFrame:
     return one.select(rows.alias("r")).select("r.*")
 
 
+def range_lines(df: DataFrame) -> DataFrame:
+    """The ranges as one JSON array per column, ``["c",min,max]``: whole numbers without, others with six decimals."""
+    whole = [f.name for f in df.schema if isinstance(f.dataType, T.IntegralType)]
+    shown = lambda c: F.when(F.col("column").isin(whole), F.format_string("%1.0f", F.col(c))).otherwise(F.format_string("%f", F.col(c)))
+    return ranges(df).select(F.concat(F.lit('["'), F.col("column"), F.lit('",'), shown("min"), F.lit(","), shown("max"), F.lit("]")).alias("value"))
+
+
 def _usable(df: DataFrame, where: str | None, *cols: str) -> DataFrame:
     df = df.filter(rewrite_condition(where))
     return reduce(lambda d, c: d.filter(F.col(f"`{c}`").isNotNull() & ~F.isnan(F.col(f"`{c}`").cast("double"))), cols, df)
@@ -151,7 +158,7 @@ def at_least_counts(index: DataFrame) -> DataFrame:
     """
     from helixmill.operators.bitsets import running_total
 
-    return running_total(index, "value", "frequency", "n_at_least", descending=True)
+    return running_total(index, ["value"], "frequency", "n_at_least", descending=True)
 
 
 def filter_range(df: DataFrame, col: str, low: object = None, high: object = None) -> DataFrame:

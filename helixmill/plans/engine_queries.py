@@ -12,6 +12,7 @@ from helixmill.operators import kmers as km
 from helixmill.plans.front import run_query
 from helixmill.session import table
 from helixmill.sources.text import guess_types
+from helixmill.streaming.incremental import windowed_counts
 
 FROM, TO = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", "ACGTACGTACGTACGTACGTACGTAC" * 2
 
@@ -238,6 +239,60 @@ def q_guess_types(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame(sorted(got.items()), "column string, kind string")
 
 
+def q_bitmap_or(spark: SparkSession, d: str) -> DataFrame:
+    """Bits of the union of all sets, per bucket of the binary form."""
+    return bs.merge_bitmaps(bs.to_bitmaps(_flags(spark, d))).select("bucket", F.bitmap_count("bitmap").alias("cnt"))
+
+
+def q_bitmap_and(spark: SparkSession, d: str) -> DataFrame:
+    return bs.merge_bitmaps(bs.to_bitmaps(_flags(spark, d)), "&").select("bucket", F.bitmap_count("bitmap").alias("cnt"))
+
+
+def q_bits_contains(spark: SparkSession, d: str) -> DataFrame:
+    return bs.contains(_flags(spark, d), 7)
+
+
+def q_bits_insert(spark: SparkSession, d: str) -> DataFrame:
+    return bs.counts(bs.set_bit(_flags(spark, d), "A", 123_456_789))
+
+
+def q_runs(spark: SparkSession, d: str) -> DataFrame:
+    """Bits from a run-length form: by customer, the orders as runs of ones and zeros by turns."""
+    o = table(spark, d, "orders").selectExpr("o_custkey", "o_orderkey", "cast(o_orderkey % 2 as int) as bit", "o_orderkey % 7 as len")
+    return bs.counts(bs.from_runs(o, "o_custkey", "o_orderkey", "bit", "len"))
+
+
+def q_value_index(spark: SparkSession, d: str) -> DataFrame:
+    return hg.value_index(table(spark, d, "part"), "p_size")
+
+
+def q_heaviest_bin(spark: SparkSession, d: str) -> DataFrame:
+    return hg.heaviest_bin(hg.scatter(table(spark, d, "lineitem"), "l_quantity", "l_extendedprice", 0, 50, 10, 0, 100000, 20))
+
+
+def q_range_lines(spark: SparkSession, d: str) -> DataFrame:
+    return hg.range_lines(table(spark, d, "part"))
+
+
+def q_windows(spark: SparkSession, d: str) -> DataFrame:
+    """Counts per hour and event type, as the stream does it."""
+    return windowed_counts(table(spark, d, "events"), "ts", "event_type", "1 hour", "2 hours")
+
+
+def q_study_chain(spark: SparkSession, d: str) -> DataFrame:
+    """From the strong scores of one study to all rows of the positions' other studies, by chromosome."""
+    gwas = table(spark, d, "gwas")
+    hits = gwas.filter("study = 1204 and score > 0.9 and not isnan(score)")
+    return jn.semi_join_chain([(hits, "", "snp_id")], gwas.filter("study <> 1204"), "snp_id", "chr, count(*) as tally")
+
+
+def q_feature_genes(spark: SparkSession, d: str) -> DataFrame:
+    """Genes and exons that overlap on one strand, over all contigs: the interval join on real features."""
+    g = table(spark, d, "gff").filter("start_pos <= end_pos")
+    cols = {"chrom": "seqname", "start": "start_pos", "end": "end_pos", "a_cols": ["line_id"], "b_cols": ["line_id"]}
+    return jn.interval_join(g.filter("feature_type = 'gene'"), g.filter("feature_type = 'exon'"), 0, 0, same_strand=True, **cols)
+
+
 _A = "(select p_partkey id, p_size % 5 chr, (p_partkey * 37) % 20000 s, (p_partkey * 37) % 20000 + 3 * p_size e, p_partkey % 2 = 0 p from part)"
 _B = "(select o_orderkey id, o_custkey % 5 chr, o_orderkey s, o_orderkey + 20 + o_custkey % 50 e, o_orderkey % 3 = 0 p from orders)"
 
@@ -299,7 +354,8 @@ QUERIES = {
     for f in (
         q_group, q_project, q_aggregates, q_ranges, q_semi_once, q_semi_chain, q_in_values, q_gaps_of_orders, q_hist_uniform, q_hist_adaptive, q_scatter, q_scatter_adaptive, q_scatter_grid,
         q_frequencies, q_index_totals, q_at_least, q_filter_range, q_bits_minus, q_bits_counts, q_bits_spans, q_bits_next, q_bits_union, q_bitmap_counts, q_bits_overlap, q_phi, q_phi_union, q_phi_best,
-        q_mc_overlap, q_kmers, q_kmers_plain, q_kmers_both, q_kmer_stats, q_kmer_histo, q_kmer_filter, q_kmer_query, q_kmer_intersect, q_kmer_merge, q_kmer_sequences, q_upsert, q_guess_types,
+        q_mc_overlap, q_kmers, q_kmers_plain, q_kmers_both, q_kmer_stats, q_kmer_histo, q_kmer_filter, q_kmer_query, q_kmer_intersect, q_kmer_merge, q_kmer_sequences, q_upsert, q_guess_types, q_bitmap_or, q_bitmap_and,
+        q_bits_contains, q_bits_insert, q_runs, q_value_index, q_heaviest_bin, q_range_lines, q_windows, q_study_chain, q_feature_genes,
     )
 } | {
     "q_intervals": _interval_query(),
@@ -358,6 +414,16 @@ SQL = {
     "q_kmer_merge": f"select kmer, count(*) as count from {_windows(6)} where source in ('old_mbox', 'field_mail') group by 1",
     "q_kmer_sequences": f"select kmer, count(distinct doc_id) n_seqs from {_windows(5)} group by 1",
     "q_upsert": "select coalesce(n_nationkey, k) n_nationkey, n_name, n_regionkey, v as note from nation full join (select n_nationkey + 10 k, 'v' || n_nationkey v from nation) on n_nationkey = k",
+    "q_bitmap_or": f"select pos // 32768 + (case when pos % 32768 > 0 then 1 else 0 end) bucket, count(distinct pos) cnt from {_FLAGS} group by 1",
+    "q_bitmap_and": f"with x as (select set_id, pos, pos // 32768 + (case when pos % 32768 > 0 then 1 else 0 end) b from {_FLAGS}), k as (select count(distinct set_id) k from x) select b bucket, count(*) filter (n = k) cnt from (select b, pos, count(*) n from x group by 1, 2), k where b in (select b from x, k group by b, k having count(distinct set_id) = k) group by 1",
+    "q_bits_contains": f"select set_id from {_FLAGS} where pos = 7",
+    "q_bits_insert": f"select set_id, count(*) cnt, max(pos) + 1 size from (select * from {_FLAGS} union select 'A', 123456789) group by 1",
+    "q_runs": "select set_id, sum(len)::bigint cnt, max(s + len) size from (select o_custkey set_id, o_orderkey % 2 b, o_orderkey % 7 len, coalesce(sum(o_orderkey % 7) over (partition by o_custkey order by o_orderkey rows between unbounded preceding and 1 preceding), 0)::bigint s from orders) where b = 1 and len > 0 group by 1",
+    "q_value_index": "select p_size value, count(*) frequency from part group by 1",
+    "q_heaviest_bin": "select max(c) max_count from (select count(*) c from lineitem where l_quantity between 0 and 50 and l_extendedprice between 0 and 100000 group by least(floor(l_quantity / 5.0), 9), least(floor(l_extendedprice / 5000.0), 19))",
+    "q_windows": "select date_trunc('hour', ts) window_start, event_type, count(*) count from events group by 1, 2",
+    "q_study_chain": "select chr, count(*) tally from gwas where study <> 1204 and snp_id in (select snp_id from gwas where study = 1204 and score > 0.9 and not isnan(score)) group by 1",
+    "q_feature_genes": "select b.start_pos - a.start_pos \"start\", b.end_pos - a.start_pos \"end\", a.line_id \"A__line_id\", b.line_id \"B__line_id\" from gff a join gff b on a.seqname = b.seqname and b.end_pos >= a.start_pos and b.start_pos <= a.end_pos and coalesce(a.strand = 1, false) = coalesce(b.strand = 1, false) where a.feature_type = 'gene' and b.feature_type = 'exon' and a.start_pos <= a.end_pos and b.start_pos <= b.end_pos",
     "q_intervals": _pairs([("true", 100, 50, False)]),
     "q_intervals_exact": _pairs([("true", 100, 50, False)]),
     "q_intervals_strand": _pairs(_BOTH_STRANDS),

@@ -160,6 +160,11 @@ def open_table(spark: SparkSession, source: DataFrame | str | list[str]) -> Data
     return out
 
 
+def open_study(spark: SparkSession, root: str, study: int | str) -> DataFrame:
+    """One study of a table partitioned by ``study``: the other partitions are pruned, not read."""
+    return spark.read.parquet(root).filter(F.col("study") == F.lit(study))
+
+
 def run_query(spark: SparkSession, spec: dict) -> DataFrame:
     """Run a request: ``select`` and ``from`` are required; ``where`` and ``order_by`` (or ``orderby``) are optional."""
     missing = {"select", "from"} - spec.keys()

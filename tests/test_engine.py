@@ -153,6 +153,13 @@ def test_phi_and_monte_carlo(spark):
     assert r.n == 50 and 0 <= r.n_at_least <= 50 and tuple(bs.mc_overlap(a, b, 50, 3).first()) == tuple(r)
     sets = [{p for s, e in d.collect() for p in range(s, e + 1)} for d in (a, b)]
     assert r.observed == len(sets[0] & sets[1])
+    spread = bs.mc_overlap(a, b, 10, 3, limit=0).first()
+    assert (spread.observed, spread.n) == (r.observed, 10) and 0 <= spread.n_at_least <= 10
+    laid = bs._laid_out(a, 3, 1, 4).collect()
+    for t in range(3):
+        runs = sorted((x.start, x.end) for x in laid if x.trial == t)
+        assert sorted(e - s for s, e in runs) == sorted(x.to_pos - x.from_pos for x in a.collect())
+        assert all(p[1] < q[0] for p, q in zip(runs, runs[1:]))
     assert bs.mc_overlap(a, a, 20, 1).first().n_at_least < 20 and bs.mc_overlap(a.limit(0), b, 5).first().observed == 0
 
 
