@@ -150,10 +150,19 @@ def _chunks(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def scan_tasks(df: DataFrame) -> int:
-    """About how many tasks read a table, from the optimizer's size of it; no job runs."""
-    spark = df.sparkSession
+#: The size taken for a table whose size the optimizer doesn't know.
+UNKNOWN_BYTES = 1 << 39
+
+
+def _plan_bytes(df: DataFrame) -> int:
+    """The optimizer's size of a table; no job runs."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 60 else UNKNOWN_BYTES
+
+
+def scan_tasks(df: DataFrame) -> int:
+    """About how many tasks read a table."""
+    spark, size = df.sparkSession, _plan_bytes(df)
     split = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
     return max(2, min(size // split + 1, 1 << 24))
 
@@ -273,8 +282,7 @@ def combine(digests: DataFrame, keys: list[str], k: int) -> DataFrame:
     the optimizer's size of the data asks for. Counts of equal nodes are added before and after the shuffle.
     """
     finer = [c for c in digests.columns if c not in {*keys, "node", "count"}]
-    size = int(str(digests._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    parts = min(max(1, size // 40 // (3 * k)), 1 << 24) if finer else 1
+    parts = min(max(1, _plan_bytes(digests) // 40 // (3 * k)), 1 << 24) if finer else 1
     part = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in finer]), F.lit(parts)).cast("int") if finer else F.lit(0)
     added = digests.select(*[F.col(f"`{c}`") for c in keys], part.alias("part"), "node", "count").groupBy(*[F.col(f"`{c}`") for c in keys], "part", "node").agg(F.sum("count").alias("count"))
     return merge(added, keys, k, parts)
