@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from helixmill.functions.sequences import canonical, revcomp, segments, windows
+from helixmill.session import spread
 
 
 def extract(seqs: DataFrame, k: int, mode: str = "A", seq: str = "seq", keep: list[str] | None = None) -> DataFrame:
@@ -24,7 +25,8 @@ def extract(seqs: DataFrame, k: int, mode: str = "A", seq: str = "seq", keep: li
     if mode not in ("A", "B", "C"):
         raise ValueError(f"unknown mode {mode}")
     cols = [F.col(f"`{c}`") for c in keep or []]
-    runs = seqs.select(*cols, F.explode(segments(F.col(f"`{seq}`").cast("string"), k)).alias("__run"))
+    seqs = spread(seqs.select(*cols, F.col(f"`{seq}`").cast("string").alias("__seq")))
+    runs = seqs.select(*cols, F.explode(segments(F.col("__seq"), k)).alias("__run"))
     raw = runs.select(*cols, F.explode(windows(F.col("__run"), k)).alias("kmer"))
     if mode == "C":
         return raw.withColumn("kmer", canonical(F.col("kmer")))

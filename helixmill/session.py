@@ -51,3 +51,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(folder, f"{name}.parquet"))
+
+
+#: A table with less than this for each core may be read by fewer tasks than there are cores.
+SPREAD_BYTES = 4 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A small table dealt evenly to all cores, for work that is bound by them; a larger one as its scan splits it."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    return df.repartition(cores) if size < cores * SPREAD_BYTES else df
