@@ -22,8 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from helixmill.llm.tokenize import spread
-from helixmill.session import checkpointed
+from helixmill.session import checkpointed, spread
 
 #: Least share of all words that a word of the corpus counts needs: at most 500,000 entries reach the tasks.
 MIN_SHARE = 2e-6
