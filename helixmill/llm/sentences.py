@@ -38,13 +38,14 @@ CLOSERS_OF_LISTS = frozenset("etc usw etcétera usf u.s.w т.д т.п т.д др
 # Abbreviations before a number or a small letter.
 REFERENCES = frozenset(
     """fig figs vol vols no nos nr pp pg pgs ch chap chs sec secs eq ex ref tab art al app approx ca cca cf vs incl est max min
-    abb bd kap bsp evtl ggf bzw vgl sog inkl zzgl geb env éd réf núm pág págs aprox ed cap
+    chr av abb bd kap bsp evtl ggf bzw vgl sog inkl zzgl geb env éd réf núm pág págs aprox ed cap
     рис табл стр гл ок см им илл σελ εικ βλ περ κεφ αρ पृ सं""".split()
 )
 # Words before a German or Nordic ordinal number.
 ORDINAL_LEADS = frozenset("der die das den dem des am im vom zum zur beim ans ins seit bis ab pro jeder jeden jedem jede dieser diesem diesen dieses kl den det de til".split())
 
-_WORD = re.compile(r"[^\W\d_](?:[\w'’\-]|\.(?=\w))*")
+# Parts of addresses are no words.
+_WORD = re.compile(r"(?<![\w@.])[^\W\d_](?:[\w'’\-]|\.(?=\w))*+(?!@)")
 # Possessive repeats and the look-behind keep the work linear in long unbroken strings.
 _STOPPED = re.compile(r"(?<![\w'’\-.])([^\W\d_](?:[\w'’\-]|\.(?=\w))*+)\.(?:(?=[,;:])|\s++(?=(\S{1,4})))")
 _OPENING = re.compile(r"(?:\A\s*+|\n\n|[!?]\s++)([^\W\d_](?:[\w'’\-])*)")
@@ -153,6 +154,8 @@ class Evidence:
 
     def abbreviation(self, w: str) -> bool:
         """Whether a stop after ``w`` belongs to it."""
+        if any(x.isdigit() for x in w):
+            return False
         if len(w) == 1 or w in TITLES or w in CLOSERS_OF_LISTS or _DOTTED.match(w) or w.lower() in REFERENCES and w.lower() not in ("no", "max", "min", "art", "tab", "app", "ex", "ed", "est", "cap", "al"):
             return True
         for source in (self.of, self._known):
@@ -177,14 +180,17 @@ class Evidence:
     def always_stopped(self, w: str) -> bool:
         """Whether the corpus knows ``w`` with a stop only."""
         total, stopped = self._known(TOTAL, w), sum(self._known(k, w) for k in (LOW, NUM, CAP))
-        return stopped >= 20 and (total - stopped) * 50 <= total
+        return w.isalpha() and stopped >= (5 if len(w) <= 3 else 20) and (total - stopped) * 50 <= total
 
     def _known(self, kind: int, w: str) -> int:
         e = self.corpus.get(w)
         return e[kind] if e else 0
 
-    def common(self, w: str) -> bool:
-        """Whether a capital word is an ordinary one, capital because it starts a sentence."""
+    def common(self, w: str, small_only: bool = False) -> bool:
+        """Whether a capital word is an ordinary one, capital because it starts a sentence.
+
+        It is if seen in small letters; or, unless ``small_only``, if seen at sure starts more than amid sentences.
+        """
         if len(w) > 1 and w.isupper():
             return False
         small = w.lower()
@@ -197,7 +203,7 @@ class Evidence:
         if self._known(TOTAL, small) * 2 >= self._known(MID, w) and self._known(TOTAL, small):
             return True
         start, mid = self._known(START, w), self._known(MID, w)
-        return start >= 2 and start > mid
+        return not small_only and start >= 2 and start > mid
 
 
 def _word_before(p: str, k: int) -> str:
@@ -238,7 +244,7 @@ def _stop_ends(p: str, k: int, j: int, ev: Evidence) -> bool:
     if d.islower():
         return not abbr and c not in _OPENS and any(x.isupper() for x in word)
     if d.isdigit():
-        return not (abbr or ev.counted(w)) or w in CLOSERS_OF_LISTS
+        return not (abbr or ev.counted(w) or ev.counted(tail)) or w in CLOSERS_OF_LISTS
     if not d.isalpha():
         return not abbr or w in CLOSERS_OF_LISTS
     initial = len(word) == 1 and p[at + 1 : at + 2] == "."
@@ -255,7 +261,8 @@ def _stop_ends(p: str, k: int, j: int, ev: Evidence) -> bool:
         return True
     if len(word) > 1 and word in TITLES and p[at + len(word) : at + len(word) + 1] == ".":
         return True
-    return not initial and ev.common(word)
+    # after one letter, an initial or a title, a name that often starts sentences is still a name
+    return not initial and ev.common(word, small_only=len(w) == 1)
 
 
 def _ends(p: str, run: str, k: int, e: int, inner: str, ev: Evidence) -> bool:
