@@ -142,14 +142,15 @@ def _wide(c: str) -> bool:
 class Evidence:
     """What a document, and behind it the corpus, knows about words."""
 
-    def __init__(self, corpus: dict[str, tuple[int, ...]], text: str) -> None:
-        self.corpus, self.text = corpus, text
+    def __init__(self, corpus: dict[str, tuple[int, ...]], *texts: str) -> None:
+        self.corpus, self.texts = corpus, texts
         self.own: Counter | None = None
 
     def of(self, kind: int, w: str) -> int:
         if self.own is None:
             self.own = Counter()
-            count_words(self.text, self.own)
+            for t in self.texts:
+                count_words(t, self.own)
         return self.own[(kind, w)]
 
     def abbreviation(self, w: str) -> bool:
@@ -353,21 +354,40 @@ def sentences(text: str, ev: Evidence, base: int = 0) -> list[tuple[int, int]]:
     return out
 
 
-def _pieces(docs: DataFrame, key: str, text: str, spans: DataFrame | None) -> DataFrame:
-    """(doc_id, at, piece): each span with its place in the text, or all of the text where there are no spans to heed.
+def _prose(docs: DataFrame, key: str, text: str, spans: DataFrame | None) -> DataFrame:
+    """(doc_id, at, text, lo, hi): a row a document, its text from place ``at``, and the places of its spans; null is all of it.
 
-    Spans meet their document once; the pieces are then kept as a checkpoint, as both passes read them.
+    Spans meet their document once, all in one row, so that each can ask the others; kept as a checkpoint, as both passes read it.
     """
     d = docs.select(F.col(f"`{key}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text")).filter("text is not null")
     if spans is None:
-        return spread(d).select("doc_id", F.lit(0).cast("long").alias("at"), F.col("text").alias("piece"))
-    s = spans.filter("span_from < span_to and span_to > 0").select("doc_id", F.greatest("span_from", F.lit(0)).cast("int").alias("lo"), F.col("span_to").cast("int").alias("hi")).distinct()
+        none = F.lit(None).cast("array<int>")
+        return spread(d).select("doc_id", F.lit(0).cast("long").alias("at"), "text", none.alias("lo"), none.alias("hi"))
+    s = spans.filter("span_from < span_to and span_to > 0").select("doc_id", F.struct(F.greatest("span_from", F.lit(0)).cast("int").alias("lo"), F.col("span_to").cast("int").alias("hi")).alias("s"))
+    s = s.groupBy("doc_id").agg(F.sort_array(F.collect_set("s")).alias("s"), F.min("s.lo").alias("from"), F.max("s.hi").alias("to"))
     j = spread(d).join(s, "doc_id")
-    return checkpointed(j.select("doc_id", F.col("lo").cast("long").alias("at"), F.substr("text", F.col("lo") + 1, F.col("hi") - F.col("lo")).alias("piece")).filter("piece <> ''"))
+    part = F.substr("text", F.col("from") + 1, F.col("to") - F.col("from"))
+    return checkpointed(j.select("doc_id", F.col("from").cast("long").alias("at"), part.alias("text"), F.col("s.lo").alias("lo"), F.col("s.hi").alias("hi")).filter("text <> ''"))
 
 
-def corpus_counts(pieces: DataFrame) -> dict[str, tuple[int, ...]]:
-    """Counts of the words of all pieces; at most 1 / MIN_SHARE entries, whatever the corpus."""
+def _read(b: pa.RecordBatch) -> Iterator[tuple[int, list[tuple[int, str]], list[str]]]:
+    """Of each row: its number, its spans as (place, text), and what they cover, so that overlapping ones count once."""
+    for i, (at, text, lo, hi) in enumerate(zip(b.column(1).to_pylist(), b.column(2), b.column(3).to_pylist(), b.column(4).to_pylist())):
+        t = text.as_py()
+        if lo is None:
+            yield i, [(at, t)], [t]
+            continue
+        covered: list[list[int]] = []
+        for x, y in zip(lo, hi):
+            if covered and x < covered[-1][1]:
+                covered[-1][1] = max(covered[-1][1], y)
+            else:
+                covered.append([x, y])
+        yield i, [(x, t[x - at : y - at]) for x, y in zip(lo, hi)], [t[x - at : y - at] for x, y in covered]
+
+
+def corpus_counts(prose: DataFrame) -> dict[str, tuple[int, ...]]:
+    """Counts of the words of all prose; at most 1 / MIN_SHARE entries, whatever the corpus."""
     schema = T.StructType([T.StructField("kind", T.IntegerType()), T.StructField("word", T.StringType()), T.StructField("n", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -378,15 +398,16 @@ def corpus_counts(pieces: DataFrame) -> dict[str, tuple[int, ...]]:
             return pa.RecordBatch.from_arrays([pa.array([k for k, _ in keys], pa.int32()), pa.array([w for _, w in keys], pa.string()), pa.array(list(seen.values()), pa.int64())], schema.names)
 
         for b in batches:
-            for piece in b.column(2):
-                count_words(piece.as_py(), seen)
+            for _, _, covered in _read(b):
+                for t in covered:
+                    count_words(t, seen)
                 if len(seen) > 1 << 18:
                     yield send()
                     seen.clear()
         if seen:
             yield send()
 
-    by = pieces.mapInArrow(run, schema).groupBy("word").agg(*[F.sum(F.when(F.col("kind") == k, F.col("n")).otherwise(0)).alias(f"n{k}") for k in range(6)])
+    by = prose.mapInArrow(run, schema).groupBy("word").agg(*[F.sum(F.when(F.col("kind") == k, F.col("n")).otherwise(0)).alias(f"n{k}") for k in range(6)])
     by = checkpointed(by)
     all_ = by.agg(F.sum("n0")).first()[0] or 0
     rows = by.filter(F.col("n0") >= all_ * MIN_SHARE).toArrow()
@@ -397,25 +418,26 @@ def corpus_counts(pieces: DataFrame) -> dict[str, tuple[int, ...]]:
 def split_sentences(docs: DataFrame, key: str, text: str, spans: DataFrame | None = None) -> DataFrame:
     """Sentences of every document: (doc_id, sent_from, sent_to), 0-based code-point offsets in the text, end exclusive.
 
-    With ``spans`` (doc_id, span_from, span_to) only those parts of the texts are read, each on its own; a repeated span
-    counts once and one beyond the text is cut to it. Null, empty and blank texts have no sentences; a text of any length is
+    With ``spans`` (doc_id, span_from, span_to) only those parts of the texts are read, each segmented on its own by the
+    evidence of all spans of its document; a repeated span counts once and one beyond the text is cut to it. Null, empty and blank texts have no sentences; a text of any length is
     segmented whole; documents repeated under one key give their sentences each time; an empty table gives an empty result.
     """
-    pieces = _pieces(docs, key, text, spans)
-    corpus = docs.sparkSession.sparkContext.broadcast(corpus_counts(pieces))
-    schema = T.StructType([T.StructField("doc_id", pieces.schema["doc_id"].dataType), T.StructField("sent_from", T.LongType()), T.StructField("sent_to", T.LongType())])
+    prose = _prose(docs, key, text, spans)
+    corpus = docs.sparkSession.sparkContext.broadcast(corpus_counts(prose))
+    schema = T.StructType([T.StructField("doc_id", prose.schema["doc_id"].dataType), T.StructField("sent_from", T.LongType()), T.StructField("sent_to", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows: list[int] = []
             found: list[tuple[int, int]] = []
-            for i, (at, piece) in enumerate(zip(b.column(1).to_pylist(), b.column(2))):
-                text = piece.as_py()
-                got = sentences(text, Evidence(corpus.value, text), at)
-                rows.extend([i] * len(got))
-                found.extend(got)
+            for i, spans_, covered in _read(b):
+                ev = Evidence(corpus.value, *covered)
+                for at, t in spans_:
+                    got = sentences(t, ev, at)
+                    rows.extend([i] * len(got))
+                    found.extend(got)
             if found:
                 ends = np.array(found, np.int64)
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows)), pa.array(ends[:, 0]), pa.array(ends[:, 1])], schema.names)
 
-    return pieces.mapInArrow(run, schema)
+    return prose.mapInArrow(run, schema)

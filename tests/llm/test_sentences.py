@@ -72,3 +72,14 @@ def test_table(spark):
     got = sorted(map(tuple, split_sentences(docs, "doc_id", "text", spans).collect()))
     assert got == [(1, 5, 9), (5, 7, 11), (5, 12, 14)]
     assert split_sentences(docs.limit(0), "doc_id", "text").count() == 0
+
+
+def test_spans_of_a_document_ask_each_other(spark):
+    first, other = "We met the blk. Osthol.", "Ask the blk. of it, the blk. here, the blk. there."
+    text = f"{first} From: x {other}"
+    at = len(text) - len(other)
+    # another document writes the word without a stop, so the corpus does not know it as an abbreviation
+    docs = spark.createDataFrame([(1, text), (2, "The blk is a blk and no blk but a blk of it, blk by blk.")], "doc_id long, text string")
+    spans = spark.createDataFrame([(1, 0, len(first)), (1, at, len(text)), (1, at + 8, len(text)), (2, 0, 99)], "doc_id long, span_from long, span_to long")
+    got = sorted((r.sent_from, r.sent_to) for r in split_sentences(docs, "doc_id", "text", spans).collect() if r.doc_id == 1)
+    assert got == [(0, len(first)), (at, len(text)), (at + 8, len(text))]
