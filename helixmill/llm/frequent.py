@@ -7,7 +7,8 @@ theirs, others subtract, the larger remains. Whatever the order of merging, an i
     f <= (total + votes) / 2 if x is the candidate, else f <= (total - votes) / 2;    f >= votes if x is the candidate
 
 so every item heavier than half of what shares its cell is a candidate, and candidates get sure bounds. Memory is bounded
-by rows x width cells per group, whatever the number of distinct items.
+by rows x width cells per group, whatever the number of distinct items. A cell hides a heavy item at most where (total - votes) / 2
+reaches the threshold; an item that is a candidate nowhere can be heavy only if its cells of all rows may hide one.
 """
 
 from __future__ import annotations
@@ -115,6 +116,34 @@ def merge(cells: DataFrame, keys: list[str]) -> DataFrame:
     return by.select(*cols, "row", "cell", "total", F.col("__top.candidate").alias("candidate"), F.greatest(2 * F.col("__top.votes") - F.col("__all"), F.lit(0)).alias("votes"))
 
 
+def _sums(cells: DataFrame, keys: list[str]) -> DataFrame:
+    """Total weight of each group: the keys as ``__k0``, ``__k1``, ..., and ``sum``."""
+    sums = cells.filter("row = 0").groupBy(*[F.col(f"`{c}`") for c in keys]).agg(F.sum("total").alias("sum"))
+    return sums.select(*_named(keys), "sum")
+
+
+def _named(keys: list[str]) -> list[Column]:
+    return [F.col(f"`{c}`").alias(f"__k{i}") for i, c in enumerate(keys)]
+
+
+def _same(keys: list[str]) -> list[Column]:
+    return [F.col(f"`{c}`").eqNullSafe(F.col(f"__k{i}")) for i, c in enumerate(keys)]
+
+
+def hiding(cells: DataFrame, keys: list[str], share: float, rows: int) -> DataFrame:
+    """Cells that may hold an item with ``share`` of its group beside their candidate: ``__k0``, ..., ``row``, ``cell``, ``sum``.
+
+    Each has at least twice that share, so a group has at most 1 / (2 share) of them in a row. Groups without one in every row
+    hide nothing and are left out.
+    """
+    sums = _sums(cells, keys)
+    at = cells.join(sums, _same(keys)) if keys else cells.crossJoin(F.broadcast(sums))
+    at = at.filter((F.col("total") - F.col("votes")) / 2 >= F.col("sum") * share).select(*_named(keys), "row", "cell", "sum")
+    by = [f"__k{i}" for i in range(len(keys))]
+    at = at.groupBy(*by).agg(F.collect_list(F.struct("row", "cell", "sum")).alias("__at"), F.count_distinct("row").alias("__rows")).filter(F.col("__rows") == rows)
+    return at.select(*by, F.explode("__at").alias("__at")).select(*by, "__at.*")
+
+
 def candidates(cells: DataFrame, keys: list[str], share: float, rows: int, width: int) -> DataFrame:
     """Items that may hold at least ``share`` of their group: the keys, ``item``, ``low``, ``high``, ``total`` (of the group).
 
@@ -123,10 +152,8 @@ def candidates(cells: DataFrame, keys: list[str], share: float, rows: int, width
     """
     cols = [F.col(f"`{c}`") for c in keys]
     null_safe = lambda a, b: [a[c].eqNullSafe(b[f"__k{i}"]) for i, c in enumerate(keys)]
-    named = [F.col(f"`{c}`").alias(f"__k{i}") for i, c in enumerate(keys)]
-    sums = cells.filter("row = 0").groupBy(*cols).agg(F.sum("total").alias("sum"))
-    sums = sums.select(*named, "sum")
-    cand = cells.join(sums, null_safe(cells, sums), "inner") if keys else cells.crossJoin(F.broadcast(sums.agg(F.sum("sum").alias("sum"))))
+    named, sums = _named(keys), _sums(cells, keys)
+    cand = cells.join(sums, null_safe(cells, sums), "inner") if keys else cells.crossJoin(F.broadcast(sums))
     cand = cand.filter((F.col("total") + F.col("votes")) / 2 >= F.col("sum") * share).select(*named, F.col("candidate").alias("item"), "sum").distinct()
     cand = cand.select("*", F.explode(F.array(*[F.struct(F.lit(r).alias("__row"), cell_of(F.col("item"), r, width).alias("__cell")) for r in range(rows)])).alias("__at")).select("*", "__at.*")
     at = cand.join(cells, [*null_safe(cells, cand), cand["__row"] == cells["row"], cand["__cell"] == cells["cell"]])
@@ -145,21 +172,33 @@ def frequent(df: DataFrame, keys: list[str], item: str, weight: str | None, shar
 
 
 def frequent_exact(df: DataFrame, keys: list[str], item: str, weight: str | None, share: float, rows: int = 2, width: int = 4096) -> DataFrame:
-    """Items with at least ``share`` of their group's weight: the keys and ``item``.
+    """Items with at least ``share`` of their group's weight, all of them: the keys and ``item``.
 
-    The sketch's bounds decide; only candidates whose bounds span the threshold are counted, by one more pass over the data
-    joined with those few candidates.
+    The sketch's bounds decide. One more pass over the data counts, each joined with few rows, the candidates whose bounds span
+    the threshold, and the items all of whose cells may hide a heavy one besides the candidate.
     """
-    found = checkpointed(frequent(df, keys, item, weight, share, rows, width))
+    cells = checkpointed(sketch(df, keys, item, weight, rows, width))
+    found = checkpointed(candidates(cells, keys, share, rows, width))
     cols = [F.col(f"`{c}`") for c in keys]
     bound = F.col("total") * share
-    sure = found.filter(F.col("low") >= bound).select(*cols, "item")
+    out = found.filter(F.col("low") >= bound).select(*cols, "item")
     open_ = found.filter(F.col("low") < bound)
-    if open_.isEmpty():
-        return sure
-    o = open_.select(*[F.col(f"`{c}`").alias(f"__k{i}") for i, c in enumerate(keys)], F.col("item").alias("__item"), F.col("total").alias("__total"))
+    hide = checkpointed(hiding(cells, keys, share, rows))
     wt = F.col(f"`{weight}`").cast("long") if weight else F.lit(1).cast("long")
     rows_ = df.select(*cols, F.col(f"`{item}`").cast("string").alias("item"), wt.alias("__w")).filter("item is not null and __w > 0")
-    hit = rows_.join(o, [*[F.col(f"`{c}`").eqNullSafe(F.col(f"__k{i}")) for i, c in enumerate(keys)], F.col("item") == F.col("__item")])
-    got = hit.groupBy(*cols, "item").agg(F.sum("__w").alias("__sum"), F.first("__total").alias("__total")).filter(F.col("__sum") >= F.col("__total") * share)
-    return sure.unionByName(got.select(*cols, "item"))
+
+    def heavy(hit: DataFrame) -> DataFrame:
+        got = hit.groupBy(*cols, "item").agg(F.sum("__w").alias("__sum"), F.first("__total").alias("__total"))
+        return got.filter(F.col("__sum") >= F.col("__total") * share).select(*cols, "item")
+
+    if not open_.isEmpty():
+        o = open_.select(*_named(keys), F.col("item").alias("__item"), F.col("total").alias("__total"))
+        out = out.unionByName(heavy(rows_.join(o, [*_same(keys), F.col("item") == F.col("__item")])))
+    if not hide.isEmpty():
+        hit = rows_
+        for r in range(rows):
+            h = hide.filter(F.col("row") == r).select(*[f"__k{i}" for i in range(len(keys))], F.col("cell").alias("__cell"), F.col("sum").alias("__total"))
+            hit = hit.join(h, [*_same(keys), cell_of(F.col("item"), r, width) == F.col("__cell")], "inner" if r == 0 else "left_semi")
+            hit = hit.select(*cols, "item", "__w", "__total")
+        out = out.unionByName(heavy(hit))
+    return out.distinct()

@@ -67,3 +67,21 @@ def test_empty_and_canonical(spark):
     assert fq.frequent_exact(spark.createDataFrame([], S), ["g"], "item", "w", 0.1).count() == 0
     df = spark.createDataFrame([("ttt",), ("AaC",), ("AN",), (None,), ("",)], "s string")
     assert [r[0] for r in df.select(fq.canonical(df.s)).collect()] == ["AAA", "AAC", None, None, None]
+
+
+def test_hidden_items_are_found(spark):
+    # one cell a row: y is never its candidate
+    rows = [(g, x, 1, "", "") for g in ("a", None) for x, n in (("x", 40), ("y", 30), *((f"r{i}", 1) for i in range(30))) for _ in range(n)]
+    df = spark.createDataFrame(rows, S).repartition(3)
+    for keys, w in ((["g"], "w"), ([], None)):
+        got = sorted((*map(str, r),) for r in fq.frequent_exact(df, keys, "item", w, 0.25, 2, 1).collect())
+        assert got == ([("None", "x"), ("None", "y"), ("a", "x"), ("a", "y")] if keys else [("x",), ("y",)])
+
+
+@pytest.mark.parametrize("seed,rows_,width", [(1, 1, 4), (2, 2, 16), (3, 3, 16)])
+def test_exact_in_few_cells(spark, seed, rows_, width):
+    rows = data(seed)
+    c, t = sums(rows)
+    heavy = {k for k, n in c.items() if n >= 0.004 * t[k[0]]}
+    got = fq.frequent_exact(spark.createDataFrame(rows, S).repartition(5), ["g"], "item", "w", 0.004, rows_, width).collect()
+    assert len(got) == len(heavy) and {(r.g, r.item) for r in got} == heavy
