@@ -6,8 +6,9 @@ seen in small letters elsewhere is capital here because it starts a sentence, on
 name. The document itself is asked first, then counts over the whole corpus, then short lists of fixed values. Each script
 has its own terminators and rules. Quotations and brackets belong to the sentence around them.
 
-Two passes: one counts words over all documents (combined before the shuffle), one segments each text whole. Only words with
-a share of at least MIN_SHARE of all counted words are kept, so what is broadcast holds at most 1 / MIN_SHARE entries.
+Three passes: one counts words over all documents (combined before the shuffle), one names the words a text may ask the corpus
+for, one segments each text whole. Counts of words with a share of at least MIN_SHARE of all words are broadcast, at most
+1 / MIN_SHARE entries; those of all other words asked for come to the texts by a join.
 """
 
 from __future__ import annotations
@@ -18,13 +19,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from helixmill.session import checkpointed, spread
 
-#: Least share of all words that a word of the corpus counts needs: at most 500,000 entries reach the tasks.
+#: Least share of all words from which the counts of a word are broadcast, at most 500,000 entries; rarer words are joined.
 MIN_SHARE = 2e-6
 
 # Abbreviations before a name, which do not end a sentence.
@@ -142,8 +144,8 @@ def _wide(c: str) -> bool:
 class Evidence:
     """What a document, and behind it the corpus, knows about words."""
 
-    def __init__(self, corpus: dict[str, tuple[int, ...]], *texts: str) -> None:
-        self.corpus, self.texts = corpus, texts
+    def __init__(self, corpus: dict[str, tuple[int, ...]], *texts: str, rare: dict[str, tuple[int, ...]] | None = None) -> None:
+        self.corpus, self.texts, self.rare = corpus, texts, rare or {}
         self.own: Counter | None = None
 
     def of(self, kind: int, w: str) -> int:
@@ -184,7 +186,7 @@ class Evidence:
         return w.isalpha() and stopped >= (5 if len(w) <= 3 else 20) and (total - stopped) * 50 <= total
 
     def _known(self, kind: int, w: str) -> int:
-        e = self.corpus.get(w)
+        e = self.corpus.get(w) or self.rare.get(w)
         return e[kind] if e else 0
 
     def common(self, w: str, small_only: bool = False) -> bool:
@@ -214,6 +216,23 @@ def _word_before(p: str, k: int) -> str:
     return near[m.end() :] if m else near
 
 
+def asked(text: str) -> set[str]:
+    """The words a text may ask the corpus for: those before a single full stop that a blank follows, and those behind it."""
+    out: set[str] = set()
+    for m in _MARKS.finditer(text):
+        if m.group() != ".":
+            continue
+        j = m.end()
+        while j < len(text) and (text[j].isspace() or text[j] in _OPENS or text[j] in _SHUTS):
+            j += 1
+        if j > m.end() and j < len(text):
+            w = _word_before(text, m.start())
+            out.update((w, re.split(r"['’]", w)[-1]))
+            if n := _NEXT.match(text, j):
+                out.update((n.group(), n.group().lower()))
+    return out
+
+
 def _letter_after(p: str, j: int) -> int:
     """Place of the first character at or after ``j`` that opens nothing and is no blank."""
     while j < len(p) and (p[j] in _OPENS or p[j].isspace()):
@@ -386,8 +405,8 @@ def _read(b: pa.RecordBatch) -> Iterator[tuple[int, list[tuple[int, str]], list[
         yield i, [(x, t[x - at : y - at]) for x, y in zip(lo, hi)], [t[x - at : y - at] for x, y in covered]
 
 
-def corpus_counts(prose: DataFrame) -> dict[str, tuple[int, ...]]:
-    """Counts of the words of all prose; at most 1 / MIN_SHARE entries, whatever the corpus."""
+def corpus_counts(prose: DataFrame) -> tuple[dict[str, tuple[int, ...]], DataFrame]:
+    """Counts of the words of all prose: of the frequent ones, at most 1 / MIN_SHARE; and (word, n) of all others."""
     schema = T.StructType([T.StructField("kind", T.IntegerType()), T.StructField("word", T.StringType()), T.StructField("n", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -410,9 +429,34 @@ def corpus_counts(prose: DataFrame) -> dict[str, tuple[int, ...]]:
     by = prose.mapInArrow(run, schema).groupBy("word").agg(*[F.sum(F.when(F.col("kind") == k, F.col("n")).otherwise(0)).alias(f"n{k}") for k in range(6)])
     by = checkpointed(by)
     all_ = by.agg(F.sum("n0")).first()[0] or 0
-    rows = by.filter(F.col("n0") >= all_ * MIN_SHARE).toArrow()
+    often = F.col("n0") >= all_ * MIN_SHARE
+    rows = by.filter(often).toArrow()
     counts = np.stack([rows.column(f"n{k}").to_numpy() for k in range(6)], 1).tolist() if rows.num_rows else []
-    return {w: tuple(c) for w, c in zip(rows.column("word").to_pylist(), counts)}
+    rare = by.filter(~often).select("word", F.array(*[f"n{k}" for k in range(6)]).alias("n"))
+    return {w: tuple(c) for w, c in zip(rows.column("word").to_pylist(), counts)}, rare
+
+
+def _with_rare(prose: DataFrame, corpus: Broadcast, rare: DataFrame) -> DataFrame:
+    """The prose with ``rare``: (word, n) of the words each text may ask for that the broadcast counts lack, or null.
+
+    Texts are told apart by a hash; should two share one, each also gets the other's words, which does no harm.
+    """
+    keyed = prose.withColumn("__h", F.xxhash64("text"))
+    schema = T.StructType([T.StructField("__h", T.LongType()), T.StructField("word", T.StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows: list[int] = []
+            words: list[str] = []
+            for i, spans, _ in _read(b):
+                want = set().union(*(asked(t) for _, t in spans)) - corpus.value.keys()
+                rows.extend([i] * len(want))
+                words.extend(want)
+            if words:
+                yield pa.RecordBatch.from_arrays([b.column(5).take(pa.array(rows)), pa.array(words, pa.string())], schema.names)
+
+    got = keyed.mapInArrow(run, schema).distinct().join(rare, "word").groupBy("__h").agg(F.collect_list(F.struct("word", "n")).alias("rare"))
+    return keyed.join(got, "__h", "left").select(*prose.columns, "rare")
 
 
 def split_sentences(docs: DataFrame, key: str, text: str, spans: DataFrame | None = None) -> DataFrame:
@@ -423,7 +467,8 @@ def split_sentences(docs: DataFrame, key: str, text: str, spans: DataFrame | Non
     segmented whole; documents repeated under one key give their sentences each time; an empty table gives an empty result.
     """
     prose = _prose(docs, key, text, spans)
-    corpus = docs.sparkSession.sparkContext.broadcast(corpus_counts(prose))
+    often, rare = corpus_counts(prose)
+    corpus = docs.sparkSession.sparkContext.broadcast(often)
     schema = T.StructType([T.StructField("doc_id", prose.schema["doc_id"].dataType), T.StructField("sent_from", T.LongType()), T.StructField("sent_to", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -431,7 +476,7 @@ def split_sentences(docs: DataFrame, key: str, text: str, spans: DataFrame | Non
             rows: list[int] = []
             found: list[tuple[int, int]] = []
             for i, spans_, covered in _read(b):
-                ev = Evidence(corpus.value, *covered)
+                ev = Evidence(corpus.value, *covered, rare={x["word"]: x["n"] for x in b.column(5)[i].as_py() or ()})
                 for at, t in spans_:
                     got = sentences(t, ev, at)
                     rows.extend([i] * len(got))
@@ -440,4 +485,4 @@ def split_sentences(docs: DataFrame, key: str, text: str, spans: DataFrame | Non
                 ends = np.array(found, np.int64)
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows)), pa.array(ends[:, 0]), pa.array(ends[:, 1])], schema.names)
 
-    return prose.mapInArrow(run, schema)
+    return _with_rare(prose, corpus, rare).mapInArrow(run, schema)

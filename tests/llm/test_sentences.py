@@ -3,6 +3,7 @@ from collections import Counter
 
 import pytest
 
+import helixmill.llm.sentences as se
 from helixmill.llm.sentences import Evidence, count_words, sentences, split_sentences
 
 LEARNT = """The table is here. It had no label. We met Dr. Osthol by noon. See fig. 3 and fig. 4, approx. 9 ml. Only the north side. It only moved. a tube, e.g. this one.
@@ -83,3 +84,26 @@ def test_spans_of_a_document_ask_each_other(spark):
     spans = spark.createDataFrame([(1, 0, len(first)), (1, at, len(text)), (1, at + 8, len(text)), (2, 0, 99)], "doc_id long, span_from long, span_to long")
     got = sorted((r.sent_from, r.sent_to) for r in split_sentences(docs, "doc_id", "text", spans).collect() if r.doc_id == 1)
     assert got == [(0, len(first)), (at, len(text)), (at + 8, len(text))]
+
+
+def test_rare_words_of_the_corpus_decide_too(spark, monkeypatch):
+    text = "We met the blk. Osthol."
+    docs = spark.createDataFrame([(1, text), (1, text), (None, text), (2, "Ask the blk. of it, the blk. here."), (3, "So it is. Ask me.")], "doc_id long, text string")
+    want = [(None, 0, 23), (1, 0, 23), (1, 0, 23), (2, 0, 34), (3, 0, 9), (3, 10, 17)]
+    key = lambda r: (r[0] or 0, *r[1:])
+    for share in (se.MIN_SHARE, 0.15, 1.0):
+        monkeypatch.setattr(se, "MIN_SHARE", share)
+        assert sorted(map(tuple, split_sentences(docs, "doc_id", "text").collect()), key=key) == want
+
+
+@pytest.mark.parametrize("case", CASES)
+def test_no_other_words_are_asked_for(corpus, case):
+    class Told(dict):
+        def get(self, w, default=None):
+            told.add(w)
+            return corpus.get(w, default)
+
+    for text in (case.replace("¦", ""), LEARNT + " (" + case.replace("¦", "") + ") It’s no. 3."):
+        told = set()
+        sentences(text, Evidence(Told(), text))
+        assert told <= se.asked(text)
