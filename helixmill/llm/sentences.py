@@ -159,8 +159,9 @@ class Evidence:
         """Whether a stop after ``w`` belongs to it."""
         if any(x.isdigit() for x in w):
             return False
-        if len(w) == 1 or w in TITLES or w in CLOSERS_OF_LISTS or _DOTTED.match(w) or w.lower() in REFERENCES and w.lower() not in ("no", "max", "min", "art", "tab", "app", "ex", "ed", "est", "cap", "al"):
+        if len(w) == 1 or _DOTTED.match(w):
             return True
+        listed = w in TITLES or w in CLOSERS_OF_LISTS or w.lower() in REFERENCES and w.lower() not in ("no", "max", "min", "art", "tab", "app", "ex", "ed", "est", "cap", "al")
         for source in (self.of, self._known):
             total, low, num, cap = (source(k, w) for k in (TOTAL, LOW, NUM, CAP))
             stopped, bare = low + num + cap, total - low - num - cap
@@ -168,17 +169,25 @@ class Evidence:
             inside = low + (num if source != self.of and num * 2 >= stopped else 0)
             if stopped >= 2 and bare * 2 <= stopped and inside >= 0.2 * stopped and inside:
                 return True
-            if source == self.of:
+            if listed:
+                # the list decides where both are silent; as some leave out a title's stop, only a word that mostly has none is ordinary
+                if source == self.of and stopped >= 2 and not bare:
+                    return True
+                if bare >= 3 and bare > 2 * stopped and low * 10 <= (0 if source == self.of else bare):
+                    return False
+            elif source == self.of:
                 if bare > 0 and not low:
                     return False
             elif stopped >= 20 and bare * 50 <= stopped and cap >= 0.9 * stopped and len(w) <= 5 and w[0].isupper():
                 return True
-        return False
+        return listed
 
     def counted(self, w: str) -> bool:
         """Whether a number after the stop of ``w`` is what the corpus mostly has there (no. 7)."""
         low, num, cap = (self._known(k, w) for k in (LOW, NUM, CAP))
-        return w.lower() in REFERENCES or num >= 3 and num * 2 >= low + num + cap
+        if w.lower() in REFERENCES and (num * 10 >= low + num + cap or low + num + cap < 20):
+            return True
+        return num >= 3 and num * 2 >= low + num + cap
 
     def always_stopped(self, w: str) -> bool:
         """Whether the corpus knows ``w`` with a stop only."""

@@ -107,3 +107,26 @@ def test_no_other_words_are_asked_for(corpus, case):
         told = set()
         sentences(text, Evidence(Told(), text))
         assert told <= se.asked(text)
+
+
+def learn(*texts):
+    c, out = Counter(), {}
+    for t in texts:
+        count_words(t, c)
+    for (kind, w), n in c.items():
+        out.setdefault(w, [0] * 6)[kind] = n
+    return out
+
+
+def test_lists_stand_behind_evidence():
+    cut = lambda text, corpus: [text[a:b] for a, b in sentences(text, Evidence(corpus, text))]
+    usual = "Это им видно, и им ясно, а им всё равно, им тоже, им, и снова им."
+    text = "Мы дали им. Потом ушли."
+    # shown as an ordinary word by the corpus, by the document; by neither
+    assert cut(text, learn(usual)) == ["Мы дали им.", "Потом ушли."]
+    assert cut(f"{usual}\n\n{text}", {})[1:] == ["Мы дали им.", "Потом ушли."]
+    assert cut(text, {}) == [text]
+    assert cut("The rest is max. 7 of them.", {}) == ["The rest is max. 7 of them."]
+    assert len(cut("The rest is app. 7 of them go.", learn("Run the app. It is an app. " * 20))) == 2
+    # a document that writes a title with its stop, in a corpus that mostly does not
+    assert len(cut("So Mr. Ash met Mr. Oak.", learn("We saw Mr Fir, Mr Elm, Mr Yew and Mr Box."))) == 1
