@@ -46,10 +46,12 @@ REFERENCES = frozenset(
 # Words before a German or Nordic ordinal number.
 ORDINAL_LEADS = frozenset("der die das den dem des am im vom zum zur beim ans ins seit bis ab pro jeder jeden jedem jede dieser diesem diesen dieses kl den det de til".split())
 
+# Vowel signs and other marks of Devanagari, which are no \w, belong to its words.
+_SIGNS = "\u0900-\u0903\u093a-\u093c\u093e-\u094f\u0951-\u0957\u0962\u0963"
 # Parts of addresses are no words.
-_WORD = re.compile(r"(?<![\w@.])[^\W\d_](?:[\w'’\-]|\.(?=\w))*+(?!@)")
+_WORD = re.compile(rf"(?<![\w@.{_SIGNS}])[^\W\d_](?:[\w'’\-{_SIGNS}]|\.(?=\w))*+(?!@)")
 # Possessive repeats and the look-behind keep the work linear in long unbroken strings.
-_STOPPED = re.compile(r"(?<![\w'’\-.])([^\W\d_](?:[\w'’\-]|\.(?=\w))*+)\.(?:(?=[,;:])|\s++(?=(\S{1,4})))")
+_STOPPED = re.compile(rf"(?<![\w'’\-.{_SIGNS}])([^\W\d_](?:[\w'’\-{_SIGNS}]|\.(?=\w))*+)\.(?:(?=[,;:])|\s++(?=(\S{{1,4}})))")
 _OPENING = re.compile(r"(?:\A\s*+|\n\n|[!?]\s++)([^\W\d_](?:[\w'’\-])*)")
 _AMID = re.compile(r"[^\W\d_A-Z],?\s([^\W\d_](?:[\w'’\-])*)")
 TOTAL, LOW, NUM, CAP, START, MID = range(6)
@@ -84,6 +86,7 @@ _ROUND = frozenset("（([【〔")
 _UNMARKED = re.compile(r"(?<=[ก-໿])[ \t 　]+(?=[ก-໿])")
 _UNMARKED_ANY = re.compile(r"[ก-໿]")
 _BREAK = re.compile(r".*[\s(\[\"“«„‘（「『/。！？，、：；…぀-ヿ㐀-鿿]", re.S)
+_DEVANAGARI = re.compile(r"[\u0900-\u0963\u0966-\u097f](?:[\u0900-\u0963\u0966-\u097f.]*[\u0900-\u0963\u0966-\u097f])?\Z")
 _NUMBER = re.compile(r"^[\d.,:/-]*\d$")
 _DOTTED = re.compile(r"^(?:[^\W\d_]{1,2}\.)+[^\W\d_]{1,2}$")
 _NEXT = re.compile(r"[^\W_](?:[\w'’\-])*")
@@ -219,10 +222,12 @@ class Evidence:
 
 
 def _word_before(p: str, k: int) -> str:
-    """What stands unbroken before place ``k``, of its last 64 characters."""
+    """What stands unbroken before place ``k``, of its last 64 characters; of a Devanagari word, what is in Devanagari."""
     near = p[max(0, k - 64) : k]
     m = _BREAK.match(near)
-    return near[m.end() :] if m else near
+    near = near[m.end() :] if m else near
+    m = _DEVANAGARI.search(near)
+    return m.group() if m else near
 
 
 def asked(text: str) -> set[str]:
@@ -257,8 +262,6 @@ def _stop_ends(p: str, k: int, j: int, ev: Evidence) -> bool:
     at = _letter_after(p, j)
     d = p[at] if at < len(p) else ""
     word = m.group() if (m := _NEXT.match(p, at)) else ""
-    if w and "ऀ" <= w[-1] <= "ॿ":
-        return False
     if not w:
         return not d.islower()
     if _NUMBER.match(w):

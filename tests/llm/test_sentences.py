@@ -130,3 +130,12 @@ def test_lists_stand_behind_evidence():
     assert len(cut("The rest is app. 7 of them go.", learn("Run the app. It is an app. " * 20))) == 2
     # a document that writes a title with its stop, in a corpus that mostly does not
     assert len(cut("So Mr. Ash met Mr. Oak.", learn("We saw Mr Fir, Mr Elm, Mr Yew and Mr Box."))) == 1
+
+
+def test_devanagari_stops():
+    cut = lambda text, corpus: [text[a:b] for a, b in sentences(text, Evidence(corpus, text))]
+    want = ["हे डॉ. जोशी यांचे घर आहे.", "ते पृ. ७ वर आहे.", "आता चला."]
+    assert cut(" ".join(want), {}) == want
+    assert cut("<p>पृ. 61 देखें।", {}) == ["<p>पृ. 61 देखें।"]
+    # counted whole, with its vowel sign, and known as an abbreviation before numbers
+    assert cut("किंमत रु. ५०० आहे. बरं.", learn("रु. 7, रु. 8, रु. 9 फक्त.")) == ["किंमत रु. ५०० आहे.", "बरं."]
