@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,11 +28,14 @@ def get_spark(app: str = "helixmill", master: str | None = None, **conf: str) ->
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder named by ``spark.checkpoint.dir``; a temporary folder only where none is set (tests)."""
+    """Use the shared folder named by ``spark.checkpoint.dir``. Where none is set, a session inside one process gets a
+    temporary one; a session with executors elsewhere, which could not read it, is refused."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
     named = sc.getConf().get("spark.checkpoint.dir", None)
+    if not named and not re.fullmatch(r"local(\[.*\])?", sc.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     sc.setCheckpointDir(named or "file://" + tempfile.mkdtemp(prefix="helixmill-ckpt-"))
 
 
@@ -53,13 +57,14 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(folder, f"{name}.parquet"))
 
 
-#: A table with less than this for each core may be read by fewer tasks than there are cores.
-SPREAD_BYTES = 4 << 20
-
-
 def spread(df: DataFrame) -> DataFrame:
-    """A small table dealt evenly to all cores, for work that is bound by them; a larger one as its scan splits it."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
+    """A table that its scan reads with fewer tasks than there are cores, dealt evenly to all of them; others as they are.
+
+    A scan makes no split smaller than ``spark.sql.files.openCostInBytes``. Only the layout differs, never the rows.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    least = int(spark._jsparkSession.sessionState().conf().filesOpenCostInBytes())
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
     size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
-    return df.repartition(cores) if size < cores * SPREAD_BYTES else df
+    return df.repartition(cores) if size < cores * least else df
