@@ -24,11 +24,6 @@ def segments(seq: Column, k: int) -> Column:
     return F.filter(runs, lambda s: F.length(s) >= k)
 
 
-def windows(run: Column, k: int) -> Column:
-    """All windows of ``k`` letters of a run that has at least ``k``."""
-    return F.transform(F.sequence(F.lit(1), F.length(run) - (k - 1)), lambda i: F.substring(run, i, F.lit(k)))
-
-
 def pack(kmer: Column) -> Column:
     """Two bits a base (A 0, C 1, G 2, T 3), k up to 31, as a bigint whose order is that of the strings."""
     return F.conv(F.translate(kmer, BASES, CODES), 4, 10).cast("bigint")
@@ -68,5 +63,8 @@ def register(spark: SparkSession) -> None:
     spark.sql("create or replace temporary function revcomp(seq string) returns string return reverse(translate(seq, 'ACGT', 'TGCA'))")
     spark.sql("create or replace temporary function canonical(seq string) returns string return least(seq, reverse(translate(seq, 'ACGT', 'TGCA')))")
     spark.sql("create or replace temporary function strand_code(s string) returns int return case s when '+' then 1 when '-' then -1 else 0 end")
-    spark.sql("""create or replace temporary function kmers(seq string, k int) returns table (kmer string) return
-        select explode(flatten(transform(filter(split(translate(upper(seq), 'U', 'T'), '[^ACGT]+'), s -> length(s) >= k), s -> transform(sequence(1, length(s) - k + 1), i -> substring(s, i, k)))))""")
+    # runs are cut into overlapping pieces twice, as a substring is looked for from the front of its string
+    cut = "transform(filter(sequence(1, greatest(length({s}) - k + 1, 1), {n}), i -> i + k - 1 <= length({s})), i -> substring({s}, i, {n} + k - 1))"
+    spark.sql(f"""create or replace temporary function kmers(seq string, k int) returns table (kmer string) return
+        select explode(flatten(transform(flatten(transform(flatten(transform(filter(split(translate(upper(seq), 'U', 'T'), '[^ACGT]+'), s -> length(s) >= k),
+            s -> {cut.format(s="s", n=1 << 14)})), p -> {cut.format(s="p", n=1 << 7)})), w -> transform(sequence(1, length(w) - k + 1), i -> substring(w, i, k)))))""")
