@@ -4,7 +4,8 @@ Links are range-partitioned by node. Each partition contracts the parent chains
 exit, the first ancestor held by another partition, with the number of links to it. The exits referred to form a smaller
 quotient forest, which is solved in the same way until it fits one task; then answers are expanded back level by level,
 one equi-join each. Chains are followed by pointer doubling over arrays, so a partition costs O(n log depth). A cycle
-inside a partition shows as a local cycle, one across partitions as a cycle of the quotient.
+inside a partition shows as a local cycle, one across partitions as a cycle of the quotient: its nodes are then marked in
+the fragments it passes, and the quotient, which has no cycle left, is solved once more.
 
 Where a level hardly shrinks (ids laid out against the hierarchy), a splice round removes an independent set of nodes,
 chosen by the hash of their ids, from all chains first: a quarter of the links on average, whatever the layout.
@@ -16,22 +17,26 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from helixmill.session import checkpointed
 
-#: Links that one task solves at once: about 100 bytes each while it does.
+#: Links that one task contracts, or of a quotient solves, at once: about 100 bytes each while it does.
 TASK_LINKS = 1 << 20
+#: Links from which another task is worth having.
+FRAGMENT_LINKS = 1 << 13
 
 ROOT, MISSING, CYCLE, BELOW, OPEN = "root", "missing", "cycle", "below_cycle", "open"
 KINDS = np.array([ROOT, MISSING, CYCLE, BELOW, OPEN])
 _R, _M, _C, _B, _O = range(5)
+_CODES = {k: i for i, k in enumerate(KINDS)} | {None: _M}
 
 LINKS = "node long, parent long, hops long, low long, ended boolean"
 FRAGMENTS = "part int, node long, parent long, hops long, low long, exit long, steps long, least long, kind string"
-ANSWERS = "node long, top long, steps long, kind string"
+ANSWERS = "node long, top long, steps long, kind string, part int"
 
 
 def _chase(node: np.ndarray, parent: np.ndarray, hops: np.ndarray, low: np.ndarray, ended: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -94,12 +99,25 @@ def _emit(names: list[str], cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
 
 
 def _solve_one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    cols = _sorted_links(batches)
-    if cols is None:
+    """Answers of all exits of a quotient, in one task: a null kind where no row holds the node; ``part`` is kept of open ones."""
+    held = [b for b in batches if b.num_rows]
+    if not held:
         return
-    exit_, steps, _, kind = _chase(*cols)
-    kind = np.where(kind == _O, _M, kind)
-    yield from _emit(["node", "top", "steps", "kind"], [cols[0], exit_, steps, KINDS[kind].astype(object)])
+    t = pa.Table.from_batches(held)
+    t = t.take(pa.array(np.argsort(t.column("node").to_numpy(), kind="stable")))
+    kind = np.array([_CODES[k] for k in t.column("kind").to_pylist()])
+    node, exit_, steps, least = (np.asarray(t.column(c).fill_null(0).to_numpy()) for c in ("node", "exit", "steps", "least"))
+    open_ = kind == _O
+    end, dist, _, way = _chase(node, np.where(open_, exit_, node), np.where(open_, steps, 0), np.where(open_, least, node), ~open_)
+    at = np.searchsorted(node, end)
+    settled = way == _R
+    own = settled & ~open_
+    top = np.where(settled, exit_[at], end)
+    far = np.where(settled, dist + np.where(kind[at] == _C, 0, steps[at]), dist)
+    what = np.where(settled, np.where((kind[at] == _C) & ~own, _B, kind[at]), way)
+    part = pc.if_else(pa.array(open_), t.column("part").combine_chunks(), pa.scalar(None, pa.int32()))
+    for b in _emit(["node", "top", "steps", "kind", "at"], [node, top, far, KINDS[what].astype(object), np.arange(len(node))]):
+        yield pa.RecordBatch.from_arrays([*b.columns[:4], part.take(b.column(4))], ["node", "top", "steps", "kind", "part"])
 
 
 def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,44 +180,54 @@ def _expand(rows: DataFrame, answers: DataFrame) -> DataFrame:
     return done.unionByName(rest)
 
 
-def _solve(links: DataFrame, limit: int, spliced: int = 0) -> DataFrame:
-    n = links.count()
-    if n <= limit:
-        return links.coalesce(1).mapInArrow(_solve_one, ANSWERS)
-    parts = -(-n // max(1, limit // 2))
-    ranged = links.repartitionByRange(parts, "node")
-    frags = checkpointed(ranged.mapInArrow(_contract, FRAGMENTS))
+def _fragments(links: DataFrame, n: int, limit: int) -> DataFrame:
+    """The links, range-partitioned by node, with their fragment exits; ``n`` is their number or more."""
+    cores = links.sparkSession.sparkContext.defaultParallelism
+    parts = max(2, -(-n // max(1, limit // 2)), min(cores, n // FRAGMENT_LINKS))
+    return checkpointed(links.repartitionByRange(parts, "node").mapInArrow(_contract, FRAGMENTS))
+
+
+def _quotient(frags: DataFrame) -> DataFrame:
+    """(node, part, exit, steps, least, kind) of every exit that is asked for; one that no row holds is missing, at itself."""
     exits = frags.filter(F.col("kind") == OPEN).groupBy(F.col("exit").alias("node")).agg(F.lit(1).alias("asked"))
-    local = frags.select("part", "node", "exit", F.col("steps").alias("hops"), F.col("least").alias("low"), "kind")
-    joined = exits.join(local, "node", "left")
-    known = joined.filter(F.col("kind").isNotNull())
-    # an exit that no table row holds answers itself; one that is done inside its fragment answers at once
-    settled = joined.filter(F.col("kind").isNull()).select("node", F.col("node").alias("top"), F.lit(0).cast("long").alias("steps"), F.lit(MISSING).alias("kind"))
-    settled = settled.unionByName(known.filter(F.col("kind") != OPEN).select("node", F.col("exit").alias("top"), F.col("hops").alias("steps"), "kind"))
-    settled = checkpointed(settled)
-    inner = checkpointed(known.filter(F.col("kind") == OPEN).select("node", F.col("exit").alias("parent"), "hops", "low", F.lit(False).alias("ended")))
-    solved = _solve_quotient(inner, settled, n, limit, spliced)
-    loops = solved.filter(F.col("kind") == CYCLE).join(known.select("node", F.col("part").alias("in_part"), F.col("kind").alias("was")).filter(F.col("was") == OPEN), "node").select(F.col("in_part").alias("part"), "node", "top")
-    loops = checkpointed(loops)
+    q = exits.join(frags.select("node", "part", "exit", "steps", "least", "kind"), "node", "left")
+    return checkpointed(q.select("node", "part", F.coalesce("exit", "node").alias("exit"), F.coalesce("steps", F.lit(0)).cast("long").alias("steps"), F.coalesce("least", "node").alias("least"), "kind"))
+
+
+def _solve(links: DataFrame, n: int, limit: int, spliced: int = 0) -> DataFrame:
+    return _solve_fragments(_fragments(links, n, limit), n, limit, spliced)
+
+
+def _solve_fragments(frags: DataFrame, n: int, limit: int, spliced: int = 0) -> DataFrame:
+    """Contract, solve the quotient, expand."""
+    q = _quotient(frags)
+    solved = _solve_quotient(q, n, limit, spliced)
+    # exits that had been open and lie on a cycle: a cycle through several fragments
+    loops = solved.filter((F.col("kind") == CYCLE) & F.col("part").isNotNull()).select("part", "node", "top")
     if not loops.isEmpty():
         touched = loops.select("part").distinct()
         hit = frags.join(touched, "part", "left_semi").groupBy("part").cogroup(loops.groupBy("part")).applyInArrow(_mark, FRAGMENTS)
         frags = checkpointed(hit.unionByName(frags.join(touched, "part", "left_anti")))
-        # exits that meet a cycle between two exits, or lie on it there: those that hang on them are counted anew
-        meets = frags.filter(F.col("kind").isin(BELOW, CYCLE)).select("node", F.col("exit").alias("top"), "steps", "kind")
-        solved = _resettle(inner, solved, meets.join(inner.select("node"), "node", "left_semi"), settled, limit, spliced)
+        solved = _solve_quotient(_quotient(frags), n, limit, spliced)
     return _expand(frags.select("node", "exit", "steps", "kind"), solved)
 
 
-def _solve_quotient(inner: DataFrame, settled: DataFrame, above: int, limit: int, spliced: int) -> DataFrame:
-    """Answers of all exits: those settled already and those of the links between exits, ``inner``."""
+def _solve_quotient(q: DataFrame, above: int, limit: int, spliced: int) -> DataFrame:
+    """Answers of all exits; ``above``: the number of links they are the quotient of."""
+    # a quotient has no more nodes than there are links
+    if above <= limit or q.count() <= limit:
+        return checkpointed(q.coalesce(1).mapInArrow(_solve_one, ANSWERS))
+    inner = checkpointed(q.filter(F.col("kind") == OPEN).select("node", F.col("exit").alias("parent"), F.col("steps").alias("hops"), F.col("least").alias("low"), F.lit(False).alias("ended")))
+    settled = q.filter(F.col("kind").isNull() | (F.col("kind") != OPEN)).select("node", F.col("exit").alias("top"), "steps", F.coalesce("kind", F.lit(MISSING)).alias("kind"))
+    solved = _settle(inner, settled, above, limit, spliced)
+    return checkpointed(solved.join(q.filter(F.col("kind") == OPEN).select("node", "part"), "node", "left"))
+
+
+def _settle(inner: DataFrame, settled: DataFrame, above: int, limit: int, spliced: int) -> DataFrame:
+    """Answers of the links ``inner``, whose chains may end at nodes that are ``settled``, and of these."""
     m = inner.count()
-    if m > limit and m > above // 2:
-        solved = _spliced(inner, limit, spliced)
-    else:
-        solved = _solve(inner, limit, spliced)
-    solved = checkpointed(solved)
-    # within the quotient an exit that is settled has no link: it shows as missing there
+    solved = checkpointed(_spliced(inner, m, limit, spliced) if m > limit and m > above // 2 else _solve(inner, m, limit, spliced))
+    # among the links a node that is settled has none: it shows as missing there
     own = settled.select(F.col("node").alias("top"), F.col("top").alias("s_top"), F.col("steps").alias("s_steps"), F.col("kind").alias("s_kind"))
     joined = solved.join(own, "top", "left")
     open_ = (F.col("kind") == MISSING) & F.col("s_kind").isNotNull()
@@ -212,21 +240,18 @@ def _solve_quotient(inner: DataFrame, settled: DataFrame, above: int, limit: int
     return checkpointed(over.unionByName(settled))
 
 
-def _resettle(links: DataFrame, solved: DataFrame, meets: DataFrame, settled: DataFrame | None, limit: int, spliced: int) -> DataFrame:
-    """Answers with those below a cycle counted anew; ``meets``: answers of the nodes found on it, or to meet it, between two links."""
+def _recounted(links: DataFrame, solved: DataFrame, meets: DataFrame, limit: int, spliced: int) -> DataFrame:
+    """Answers with those below a cycle counted anew; ``meets``: answers of nodes that meet a cycle between two links."""
     ring = solved.filter(F.col("kind") == CYCLE)
-    anchors = ring.unionByName(meets.join(ring.select("node"), "node", "left_anti"))
-    if settled is not None:
-        anchors = anchors.unionByName(settled.filter(F.col("kind") != CYCLE)).unionByName(settled.filter(F.col("kind") == CYCLE).join(ring.select("node"), "node", "left_anti"))
-    anchors = checkpointed(anchors)
+    anchors = checkpointed(ring.unionByName(meets.join(ring.select("node"), "node", "left_anti")))
     redo = links.join(solved.filter(F.col("kind") == BELOW).select("node"), "node", "left_semi").join(anchors.select("node"), "node", "left_anti")
     redo = checkpointed(redo)
-    new = _solve_quotient(redo, anchors, redo.count() * 4, limit, spliced + 1)
+    new = _settle(redo, anchors, redo.count() * 4, limit, spliced + 1)
     cyclic = F.col("kind").isin(CYCLE, BELOW)
     return checkpointed(solved.filter(~cyclic).unionByName(new.filter(cyclic)))
 
 
-def _spliced(links: DataFrame, limit: int, round_: int) -> DataFrame:
+def _spliced(links: DataFrame, n: int, limit: int, round_: int) -> DataFrame:
     """Solve after taking nodes out of all chains: those with a coin of 1 whose parent has a coin of 0."""
     coin = lambda c: F.xxhash64(c, F.lit(round_)) % 2 != 0
     out = checkpointed(links.filter(coin(F.col("node")) & ~coin(F.col("parent")) & (F.col("node") != F.col("parent"))))
@@ -234,13 +259,13 @@ def _spliced(links: DataFrame, limit: int, round_: int) -> DataFrame:
     via = out.select(F.col("node").alias("via"), F.col("parent").alias("v_parent"), F.col("hops").alias("v_hops"), F.col("low").alias("v_low"))
     over = checkpointed(kept.join(via, kept["parent"] == via["via"], "left").select("node", F.coalesce("v_parent", "parent").alias("parent"), (F.col("hops") + F.coalesce("v_hops", F.lit(0))).alias("hops"), F.least("low", F.coalesce("v_low", "low")).alias("low"), "ended", "via", F.col("hops").alias("own")))
     links = over.drop("via", "own")
-    solved = checkpointed(_solve(links, limit, round_ + 1))
+    solved = checkpointed(_solve(links, n, limit, round_ + 1))
     # a node taken out lies on a cycle if a link over it does
     ring = over.filter("via is not null").join(solved.filter(F.col("kind") == CYCLE), "node").groupBy(F.col("via").alias("node")).agg(F.min("top").alias("r_top"))
     ring = checkpointed(ring)
     if not ring.isEmpty():
         meets = over.join(ring.select(F.col("node").alias("via"), F.col("r_top").alias("top")), "via").select("node", "top", F.col("own").alias("steps"), F.lit(BELOW).alias("kind"))
-        solved = _resettle(links, solved, meets, None, limit, round_)
+        solved = _recounted(links, solved, meets, limit, round_)
     gone = out.select("node", F.col("parent").alias("exit"), F.col("hops").alias("steps"), F.lit(OPEN).alias("kind"))
     back = gone.join(solved.select(F.col("node").alias("exit"), F.col("top").alias("a_top"), F.col("steps").alias("a_steps"), F.col("kind").alias("a_kind")), "exit", "left").join(ring, "node", "left")
     back = back.select(
@@ -267,7 +292,7 @@ def resolve(df: DataFrame, node: str, parent: str, limit: int = TASK_LINKS) -> D
     the parent that no row holds, steps the number of links to it. Repeated rows count once; of several parents of one
     node the smallest holds; a null node is left out; an empty table gives an empty result. ``limit``: links per task.
     """
-    return _solve(checkpointed(_links(df, node, parent)), limit)
+    return _solve(_links(df, node, parent), df.count(), limit)
 
 
 def _climb(node: np.ndarray, parent: np.ndarray, ended: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -295,15 +320,20 @@ CLIMB = 4096
 
 
 def _ways(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    cols = _sorted_links(batches)
-    if cols is None:
+    """(node, above, path) of the nodes whose chain leaves the partition or ends in it at a root; above is null for the latter."""
+    held = [b for b in batches if b.num_rows]
+    if not held:
         return
-    node, parent, _, _, ended = cols
-    for lo in range(0, len(node), CLIMB):
-        of = node[lo : lo + CLIMB]
+    t = pa.Table.from_batches(held)
+    t = t.take(pa.array(np.argsort(t.column("node").to_numpy(), kind="stable")))
+    node, parent, ended = _columns(t, "node", "parent", "ended")
+    goes = np.array([k in (ROOT, OPEN) for k in t.column("kind").to_pylist()])
+    good = node[goes]
+    for lo in range(0, len(good), CLIMB):
+        of = good[lo : lo + CLIMB]
         offsets, seen, above = _climb(node, parent, ended, of)
         lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(seen))
-        yield pa.RecordBatch.from_arrays([pa.array(of), pa.array(above, mask=above < 0) if (above < 0).any() else pa.array(above), lists], ["node", "above", "path"])
+        yield pa.RecordBatch.from_arrays([pa.array(of), pa.array(above, mask=above < 0), lists], ["node", "above", "path"])
 
 
 def full_paths(df: DataFrame, node: str, parent: str, limit: int = TASK_LINKS) -> DataFrame:
@@ -313,32 +343,18 @@ def full_paths(df: DataFrame, node: str, parent: str, limit: int = TASK_LINKS) -
     for repeated, null and contradictory rows. Paths inside a range partition are climbed there; paths of fragment exits
     are doubled by joins, so a forest cut into fragments takes as many joins as the logarithm of the crossings.
     """
-    links = checkpointed(_links(df, node, parent))
-    ends = checkpointed(_solve(links, limit))
-    good = links.join(ends.filter(F.col("kind") == ROOT).select("node"), "node", "left_semi")
-    n = links.count()
-    if n <= limit:
-        # one task's worth of links goes to every task, which then climbs for its own nodes
-        held = good.select("node", "parent", "ended").toArrow().sort_by("node")
-        shared = df.sparkSession.sparkContext.broadcast(tuple(c.to_numpy() for c in held.columns))
-
-        def climb(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                for lo in range(0, b.num_rows, CLIMB):
-                    of = b.column(0).slice(lo, CLIMB)
-                    offsets, seen, _ = _climb(*shared.value, of.to_numpy())
-                    yield pa.RecordBatch.from_arrays([of, pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(seen))], ["node", "path"])
-
-        found = good.select("node").repartition("node").mapInArrow(climb, "node long, path array<long>")
-    else:
-        ways = checkpointed(good.repartitionByRange(-(-n // max(1, limit // 2)), "node").mapInArrow(_ways, "node long, above long, path array<long>"))
-        exits = ways.select(F.col("above").alias("node")).filter("node is not null").distinct()
-        table = checkpointed(ways.join(exits, "node", "left_semi"))
-        join = lambda rows: rows.join(table.select(F.col("node").alias("above"), F.col("above").alias("next"), F.col("path").alias("lead")), "above", "left").select("node", F.col("next").alias("above"), F.when(F.col("lead").isNull(), F.col("path")).otherwise(F.concat("lead", "path")).alias("path"))
-        while not table.filter("above is not null").isEmpty():
-            table = checkpointed(join(table))
-        found = join(ways).select("node", "path")
-    out = ends.join(found, "node", "left")
+    n = df.count()
+    frags = _fragments(_links(df, node, parent), n, limit)
+    ends = checkpointed(_solve_fragments(frags, n, limit))
+    # a checkpoint keeps its partitions: each is a whole fragment
+    ways = checkpointed(frags.select("node", "parent", ((F.col("kind") == ROOT) & (F.col("steps") == 0)).alias("ended"), "kind").mapInArrow(_ways, "node long, above long, path array<long>"))
+    exits = ways.select(F.col("above").alias("node")).filter("node is not null").distinct().join(ends.filter(F.col("kind") == ROOT).select("node"), "node", "left_semi")
+    table = checkpointed(ways.join(exits, "node", "left_semi"))
+    join = lambda rows: rows.join(table.select(F.col("node").alias("above"), F.col("above").alias("next"), F.col("path").alias("lead")), "above", "left").select("node", F.col("next").alias("above"), F.when(F.col("lead").isNull(), F.col("path")).otherwise(F.concat("lead", "path")).alias("path"))
+    while not table.filter("above is not null").isEmpty():
+        table = checkpointed(join(table))
+    found = join(ways).select("node", "path")
+    out = ends.join(found, "node", "left").withColumn("path", F.when(F.col("kind") == ROOT, F.col("path")))
     return out.select("node", F.when(F.col("kind") == ROOT, F.col("top")).alias("root"), F.when(F.col("kind") == ROOT, F.col("steps")).alias("depth"), "path", "kind", "top")
 
 

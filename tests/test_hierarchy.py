@@ -50,7 +50,7 @@ def check(spark, rows, limit):
     return paths
 
 
-@pytest.mark.parametrize("seed", range(2))
+@pytest.mark.parametrize("seed", range(1))
 def test_random(spark, seed):
     rnd = random.Random(seed)
     n = 200
@@ -62,13 +62,13 @@ def test_random(spark, seed):
 
 def test_scrambled_chains(spark):
     rnd = random.Random(5)
-    p = list(range(200))
+    p = list(range(90))
     rnd.shuffle(p)
-    chain = [(p[i], p[i + 1]) for i in range(199)]
-    check(spark, [*chain, (p[199], p[80])], 60)
-    check(spark, chain, 60)
-    pairs = check(spark, [*chain, (p[199], None)], 1 << 20)
-    assert descendants(pairs).count() == 199 * 200 // 2
+    chain = [(p[i], p[i + 1]) for i in range(89)]
+    check(spark, [*chain, (p[89], p[40])], 40)
+    check(spark, chain, 40)
+    pairs = check(spark, [*chain, (p[89], None)], 1 << 20)
+    assert descendants(pairs).count() == 89 * 90 // 2
 
 
 def test_star_and_edges(spark):
