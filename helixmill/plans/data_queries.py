@@ -42,7 +42,7 @@ def p2_islands(spark: SparkSession, d: str) -> DataFrame:
 
 def _references(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     gff = table(spark, d, "gff")
-    refs = split_packed(gff.filter("parent is not null"), {"parent": PARENTS}, ["line_id", "release_tag", "feature_type"])
+    refs = checkpointed(split_packed(gff.filter("parent is not null"), {"parent": PARENTS}, ["line_id", "release_tag", "feature_type"]))
     known = gff.select(F.col("id").alias("key"), F.col("release_tag").alias("period"))
     gone = table(spark, d, "retired_ids").select(F.col("id").alias("key"), F.col("retired_in").alias("period"))
     return refs.withColumnRenamed("item", "parent_ref"), known, gone

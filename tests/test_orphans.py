@@ -37,11 +37,22 @@ def test_random(spark, seed):
 
 def test_many_ranges(spark, monkeypatch):
     monkeypatch.setattr(orphans, "RANGE", 64)
+    monkeypatch.setattr(orphans, "BITS", 6)
+    monkeypatch.setattr(orphans, "HELD", 3)
     refs = spark.range(1000).selectExpr("cast(id as string) key", "'b' period")
     parents = spark.range(0, 1000, 2).selectExpr("cast(id as string) key", "case when id % 4 = 0 then 'a' else 'c' end period")
     assert {int(r.key) for r in orphan_keys(refs, parents).collect()} == {i for i in range(1000) if i % 4}
 
 
+def test_bitmaps_of_deliveries_merge(spark):
+    """Bitmaps of references and of parents that came in two deliveries give what those of all rows give."""
+    rows = [(c, o, p) for c in range(0, 200_000, 7) for o, p in ((orphans.ASKED, "b"), (orphans.BORN, "a" if c % 2 else "c"))]
+    df = spark.createDataFrame(rows, "code long, role int, period string").repartition(3)
+    one, two = (orphans.build_bitmaps(df.filter(f"code % 3 {op} 0")) for op in ("=", "<>"))
+    got = orphans.survivors(one.unionByName(two)).collect()
+    assert sorted(r.code for r in got) == [c for c in range(0, 200_000, 7) if c % 2 == 0] and {r.period for r in got} == {"b"}
+
+
 @pytest.mark.parametrize("na,nb", [(10, 20), (10, 9000), (9000, 10), (9000, 20000)])
 def test_bitmaps(na, nb):
     rnd = np.random.default_rng(na + nb)
