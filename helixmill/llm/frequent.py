@@ -109,9 +109,12 @@ def sketch(df: DataFrame, keys: list[str], item: str, weight: str | None, rows:
 
 
 def merge(cells: DataFrame, keys: list[str]) -> DataFrame:
-    """Merged cells of equal groups: of the tasks of a run, of days, or of finer groups. Combined before each shuffle."""
+    """Merged cells of equal groups: of the tasks of a run, of days, or of finer groups. One shuffle by group and cell.
+
+    Cells arrive merged by the tasks that made them, so there is little to combine before it; a cell gets one row a task.
+    """
     cols = [F.col(f"`{c}`") for c in keys]
-    by = cells.groupBy(*cols, "row", "cell", "candidate").agg(F.sum("total").alias("total"), F.sum("votes").alias("votes"))
+    by = cells.repartition(*cols, "row", "cell").groupBy(*cols, "row", "cell", "candidate").agg(F.sum("total").alias("total"), F.sum("votes").alias("votes"))
     by = by.groupBy(*cols, "row", "cell").agg(F.sum("total").alias("total"), F.sum("votes").alias("__all"), F.max(F.struct("votes", "candidate")).alias("__top"))
     return by.select(*cols, "row", "cell", "total", F.col("__top.candidate").alias("candidate"), F.greatest(2 * F.col("__top.votes") - F.col("__all"), F.lit(0)).alias("votes"))
 
@@ -166,18 +169,39 @@ def candidates(cells: DataFrame, keys: list[str], share: float, rows: int, width
     return out.filter(F.col("high") >= F.col("total") * share)
 
 
-def frequent(df: DataFrame, keys: list[str], item: str, weight: str | None, share: float, rows: int = 2, width: int = 4096) -> DataFrame:
+def width_for(share: float) -> int:
+    """Cells of a hash row for a share: four for each item that can have it, so that few cells hold more than half of the
+    share beside their candidate; a power of two. More cells would only be sent; what fewer hide is counted exactly."""
+    return 1 << max(4, int(np.ceil(np.log2(4 / share))))
+
+
+def once(df: DataFrame, keys: list[str], same: list[str]) -> DataFrame:
+    """Rows that are equal in ``keys`` and ``same`` once, laid out by ranges of the keys and a hash of the rest.
+
+    A group lies in as few partitions as its rows fill and a partition holds few groups, so tasks that sketch the result
+    send few cells; a group of a third of all rows spreads over a third of the partitions.
+    """
+    cols = [F.col(f"`{c}`") for c in keys]
+    rest = [F.col(f"`{c}`") for c in same]
+    h = F.xxhash64(*rest)
+    return df.withColumn("__h", h).repartitionByRange(*cols, "__h").groupBy(*cols, "__h", *rest).agg(*[F.first(f"`{c}`").alias(c) for c in df.columns if c not in {*keys, *same}]).drop("__h")
+
+
+def frequent(df: DataFrame, keys: list[str], item: str, weight: str | None, share: float, rows: int = 2, width: int | None = None) -> DataFrame:
     """Candidates for ``share`` of their group's weight with sure bounds; see ``sketch`` for what counts."""
+    width = width or width_for(share)
     return candidates(checkpointed(sketch(df, keys, item, weight, rows, width)), keys, share, rows, width)
 
 
-def frequent_exact(df: DataFrame, keys: list[str], item: str, weight: str | None, share: float, rows: int = 2, width: int = 4096) -> DataFrame:
+def frequent_exact(df: DataFrame, keys: list[str], item: str, weight: str | None, share: float, rows: int = 2, width: int | None = None, same: list[str] | None = None) -> DataFrame:
     """Items with at least ``share`` of their group's weight, all of them: the keys and ``item``.
 
-    The sketch's bounds decide. One more pass over the data counts, each joined with few rows, the candidates whose bounds span
-    the threshold, and the items all of whose cells may hide a heavy one besides the candidate.
+    The sketch's bounds decide. One more pass over the data counts the candidates whose bounds span the threshold, and the
+    items all of whose cells may hide a heavy one besides the candidate; it filters its rows by these before all else.
+    Rows equal in the keys and in the columns ``same`` count once; without ``same`` repeated rows count each time.
     """
-    cells = checkpointed(sketch(df, keys, item, weight, rows, width))
+    width = width or width_for(share)
+    cells = checkpointed(sketch(once(df, keys, same) if same else df, keys, item, weight, rows, width))
     found = checkpointed(candidates(cells, keys, share, rows, width))
     cols = [F.col(f"`{c}`") for c in keys]
     bound = F.col("total") * share
@@ -185,20 +209,23 @@ def frequent_exact(df: DataFrame, keys: list[str], item: str, weight: str | None
     open_ = found.filter(F.col("low") < bound)
     hide = checkpointed(hiding(cells, keys, share, rows))
     wt = F.col(f"`{weight}`").cast("long") if weight else F.lit(1).cast("long")
-    rows_ = df.select(*cols, F.col(f"`{item}`").cast("string").alias("item"), wt.alias("__w")).filter("item is not null and __w > 0")
+    rest = [c for c in same or [] if c not in keys]
+    rows_ = df.select(*cols, F.col(f"`{item}`").cast("string").alias("__item"), wt.alias("__w"), *[F.col(f"`{c}`").alias(f"__s{i}") for i, c in enumerate(rest)]).filter("__item is not null and __w > 0")
 
     def heavy(hit: DataFrame) -> DataFrame:
-        got = hit.groupBy(*cols, "item").agg(F.sum("__w").alias("__sum"), F.first("__total").alias("__total"))
-        return got.filter(F.col("__sum") >= F.col("__total") * share).select(*cols, "item")
+        if same:
+            hit = hit.select(*cols, "__item", "__w", "__total", *[f"__s{i}" for i in range(len(rest))]).distinct()
+        got = hit.groupBy(*cols, "__item").agg(F.sum("__w").alias("__sum"), F.first("__total").alias("__total"))
+        return got.filter(F.col("__sum") >= F.col("__total") * share).select(*cols, F.col("__item").alias("item"))
 
     if not open_.isEmpty():
-        o = open_.select(*_named(keys), F.col("item").alias("__item"), F.col("total").alias("__total"))
-        out = out.unionByName(heavy(rows_.join(o, [*_same(keys), F.col("item") == F.col("__item")])))
+        o = open_.select(*_named(keys), F.col("item").alias("__of"), F.col("total").alias("__total"))
+        out = out.unionByName(heavy(rows_.join(o, [*_same(keys), F.col("__item") == F.col("__of")])))
     if not hide.isEmpty():
         hit = rows_
         for r in range(rows):
-            h = hide.filter(F.col("row") == r).select(*[f"__k{i}" for i in range(len(keys))], F.col("cell").alias("__cell"), F.col("sum").alias("__total"))
-            hit = hit.join(h, [*_same(keys), cell_of(F.col("item"), r, width) == F.col("__cell")], "inner" if r == 0 else "left_semi")
-            hit = hit.select(*cols, "item", "__w", "__total")
+            h = hide.filter(F.col("row") == r).select(*[f"__k{i}" for i in range(len(keys))], F.col("cell").alias("__cell"), F.col("sum").alias("__t"))
+            hit = hit.join(h, [*_same(keys), cell_of(F.col("__item"), r, width) == F.col("__cell")], "inner" if r == 0 else "left_semi")
+            hit = hit.select(*rows_.columns, F.col("__t").alias("__total")) if r == 0 else hit
         out = out.unionByName(heavy(hit))
     return out.distinct()

@@ -38,21 +38,24 @@ def p1_days(spark: SparkSession, d: str) -> DataFrame:
     return qt.percentiles(qt.combine(days, ["chr"], PERCENTILE_K), ["chr"], PERCENTILES, PERCENTILE_K)
 
 
+#: What makes two deliveries of a k-mer the same.
+DELIVERY = ["batch_no", "seq", "kmer_count"]
+
+
 def _kmers(spark: SparkSession, d: str) -> DataFrame:
-    """Usable k-mers, each delivery once, in canonical form."""
-    rows = table(spark, d, "kmers").select("run_id", "batch_no", "seq", "kmer_count").filter("kmer_count is not null")
-    # copies are dropped before the shuffle and after it, and no run or batch is gathered in one task
-    return rows.distinct().select("run_id", fq.canonical(F.col("seq")).alias("seq"), "kmer_count").filter("seq is not null")
+    """Usable k-mers with their canonical form as ``kmer``, deliveries as often as they came."""
+    rows = table(spark, d, "kmers").select("run_id", *DELIVERY, fq.canonical(F.col("seq")).alias("kmer"))
+    return rows.filter("kmer_count is not null and kmer is not null")
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return fq.frequent_exact(_kmers(spark, d), ["run_id"], "seq", "kmer_count", 0.005).withColumnRenamed("item", "seq")
+    return fq.frequent_exact(_kmers(spark, d), ["run_id"], "kmer", "kmer_count", 0.005, same=DELIVERY).withColumnRenamed("item", "seq")
 
 
 def p3_frequent(spark: SparkSession, d: str) -> DataFrame:
     """Frequent k-mers per run and (run_id null) over all runs, with bounds of their counts, from one set of cells."""
-    rows, width = 2, 4096
-    cells = checkpointed(fq.sketch(_kmers(spark, d), ["run_id"], "seq", "kmer_count", rows, width))
+    rows, width = 2, fq.width_for(0.002)
+    cells = checkpointed(fq.sketch(fq.once(_kmers(spark, d), ["run_id"], DELIVERY), ["run_id"], "kmer", "kmer_count", rows, width))
     every = checkpointed(fq.merge(cells.withColumn("run_id", F.lit(None).cast("long")), ["run_id"]))
     return fq.candidates(cells, ["run_id"], 0.005, rows, width).unionByName(fq.candidates(every, ["run_id"], 0.002, rows, width)).withColumnRenamed("item", "seq")
 
