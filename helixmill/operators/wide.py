@@ -1,24 +1,28 @@
 """Attribute-value rows into wide tables, by log-structured upserts.
 
 Each task turns its batches of (entity, attribute, value) rows into *deltas*: sparse wide rows, sorted by entity, whose cells
-carry a version and a mergeable state. ``compact`` brings the deltas of any number of runs together by entity and merges
-them cell by cell; merging is associative and commutative, so batches may come late and in any order. ``to_wide`` reads typed
-columns off a compacted run. An entity that holds a third of all rows arrives as one sparse row per batch.
+carry a version and a mergeable state. Stored deltas are the sorted runs of the first level. ``compact`` brings any number of
+runs together by entity, in order, and one pass over the sorted rows merges neighbours of one entity cell by cell, the latest
+version winning; the result is a sorted run again. Merging is associative and commutative, so batches may come late and in
+any order. ``to_wide`` reads typed columns off a compacted run. An entity that holds a third of all rows arrives as one
+sparse row per batch, and the pass holds one merged row of it.
 
 A cell holds: ``version`` and ``latest`` (the value with the latest version, ties by the larger value), the number of
-values and of readable values, and the smallest and largest typed value in a canonical spelling: they differ exactly if
-the readable values are not one distinct typed value. Cells of type list hold the sorted distinct values instead.
+values and of readable values, and the smallest and largest typed value in a canonical spelling (``lo``, and ``hi`` where it
+differs): readable values are one distinct typed value exactly if there is a ``lo`` and no ``hi``. Cells of type list hold the
+sorted distinct values as ``items`` instead, which is null in all others.
 """
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -68,6 +72,54 @@ def _pick(values: pa.Array, rank: np.ndarray) -> pa.Array:
     return values.take(pa.array(rank, mask=rank < 0)) if len(values) else pa.nulls(len(rank), values.type)
 
 
+def _lists(sizes: np.ndarray, values: pa.Array, present: np.ndarray) -> pa.Array:
+    """Lists of the given sizes out of their values in a row; null where not present."""
+    ends = pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32())
+    return pa.ListArray.from_arrays(ends, values, mask=pa.array(~present))
+
+
+def _merged(t: pa.Table) -> pa.Table:
+    """Rows (entity, cells) sorted by entity, those of one entity merged cell by cell."""
+    t = t.combine_chunks()
+    ent, cells = (c.chunk(0) for c in t.columns)
+    code, _ = _ranked(t.column(0))
+    entity = np.cumsum(np.concatenate(([False], code[1:] != code[:-1])))
+    ends = cells.offsets.to_numpy()
+    atts_of = cells.keys.slice(ends[0], ends[-1] - ends[0])
+    state = cells.items.slice(ends[0], ends[-1] - ends[0])
+    owner = np.repeat(entity, np.diff(ends))
+    version, latest, n_values, n_readable, lo, hi, items = state.flatten()
+    (att, atts), (ver, vers), (val, vals) = (_ranked(pa.chunked_array([c])) for c in (atts_of, version, latest))
+    bound, spellings = _ranked(pa.chunked_array([lo, hi]))
+    low, high = bound[: len(lo)], bound[len(lo) :]
+    high = np.maximum(low, high)
+    cell = owner * max(len(atts), 1) + att
+    order = np.lexsort((val, ver, val >= 0, cell))
+    sort = lambda x: x[order]
+    cell, ver, val, low, high = (sort(x) for x in (cell, ver, val, low, high))
+    head = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1]))) if len(cell) else np.zeros(0, np.int64)
+    last = np.concatenate((head[1:], [len(cell)])) - 1 if len(head) else head
+    add = lambda c: np.add.reduceat(c.to_numpy()[order], head) if len(head) else np.zeros(0, np.int64)
+    top = np.maximum.reduceat(high, head) if len(head) else high
+    bottom = np.minimum.reduceat(np.where(low < 0, np.iinfo(np.int64).max, low), head) if len(head) else low
+    bottom = np.where(top < 0, -1, bottom)
+    # the values of list cells: distinct and sorted per cell
+    listed = items.is_valid().to_numpy(zero_copy_only=False)
+    rank, names = _ranked(pa.chunked_array([items.flatten()]))
+    number = np.empty(len(order), np.int64)
+    number[order] = np.repeat(np.arange(len(head)), np.diff(np.concatenate((head, [len(cell)])))) if len(head) else 0
+    of = np.repeat(number, pc.fill_null(pc.list_value_length(items), 0).to_numpy())
+    pair = np.unique(of * (len(names) + 1) + rank)
+    present = np.zeros(len(head), bool)
+    present[number[listed]] = True
+    fields = [_pick(vers, ver[last]), _pick(vals, val[last]), pa.array(add(n_values)), pa.array(add(n_readable)), _pick(spellings, bottom), _pick(spellings, np.where(top > bottom, top, -1)), _lists(np.bincount(pair // (len(names) + 1), minlength=len(head)), _pick(names, pair % (len(names) + 1)), present)]
+    whole = pa.StructArray.from_arrays([f.cast(state.type.field(i).type) for i, f in enumerate(fields)], fields=list(state.type))
+    n = int(entity[-1]) + 1
+    ends = np.concatenate(([0], np.cumsum(np.bincount(cell[head] // max(len(atts), 1), minlength=n))))
+    first = np.flatnonzero(np.concatenate(([True], entity[1:] != entity[:-1])))
+    return pa.table([ent.take(pa.array(first)), pa.MapArray.from_arrays(pa.array(ends, pa.int32()), _pick(atts, cell[head] % max(len(atts), 1)), whole)], names=t.column_names)
+
+
 def _delta(t: pa.Table, cell_type: pa.DataType) -> tuple[pa.Array, pa.Array]:
     """Entities, sorted, and their sparse cells, of one batch (entity, attr, kind, version, v, typed)."""
     (ent, ents), (att, atts), (kind, kinds), (ver, vers), (val, vals), (typ, typs) = (_ranked(t.column(i)) for i in range(6))
@@ -88,10 +140,10 @@ def _delta(t: pa.Table, cell_type: pa.DataType) -> tuple[pa.Array, pa.Array]:
     some = is_list & (val >= 0)
     pair = np.unique(np.repeat(np.arange(len(head)), np.diff(np.concatenate((head, [len(cell)]))))[some] * (len(vals) + 1) + val[some])
     sizes = np.bincount(pair // (len(vals) + 1), minlength=len(head))
-    items = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), _pick(vals, pair % (len(vals) + 1)))
+    items = _lists(sizes, _pick(vals, pair % (len(vals) + 1)), is_list[head])
     best = np.where(val[last] >= 0, last, -1)
     at = np.maximum(best, 0)
-    fields = [_pick(kinds, kind[head]), _pick(vers, np.where(best < 0, -1, ver[at])), _pick(vals, np.where(best < 0, -1, val[at])), pa.array(n_values), pa.array(n_readable), _pick(typs, lo), _pick(typs, hi), items]
+    fields = [_pick(vers, np.where(best < 0, -1, ver[at])), _pick(vals, np.where(best < 0, -1, val[at])), pa.array(n_values), pa.array(n_readable), _pick(typs, lo), _pick(typs, np.where(hi > lo, hi, -1)), items]
     fields = [f.cast(cell_type.field(i).type) for i, f in enumerate(fields)]
     owner = cell[head] // len(atts)
     first = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
@@ -116,7 +168,7 @@ def to_delta(df: DataFrame, types: DataFrame, entity: str, attr: str, value: str
     rows = rows.join(known, "attr", "left").withColumn("kind", F.coalesce("kind", F.lit("text")))
     rows = rows.select(entity, "attr", "kind", "version", "v", F.when(F.col("kind") != "list", typed_spelling(F.col("v"), F.col("kind"))).alias("typed"))
     text, whole = T.StringType(), T.LongType()
-    cell = T.StructType([T.StructField(n, k) for n, k in (("kind", text), ("version", rows.schema["version"].dataType), ("latest", text), ("n_values", whole), ("n_readable", whole), ("lo", text), ("hi", text), ("items", T.ArrayType(text)))])
+    cell = T.StructType([T.StructField(n, k) for n, k in (("version", rows.schema["version"].dataType), ("latest", text), ("n_values", whole), ("n_readable", whole), ("lo", text), ("hi", text), ("items", T.ArrayType(text)))])
     schema = T.StructType([T.StructField(entity, rows.schema[entity].dataType), T.StructField("cells", T.MapType(text, cell))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,7 +178,7 @@ def to_delta(df: DataFrame, types: DataFrame, entity: str, attr: str, value: str
         def send() -> pa.RecordBatch:
             t = pa.Table.from_batches(held)
             version_type = t.schema.field(3).type
-            shape = pa.struct([("kind", pa.string()), ("version", version_type), ("latest", pa.string()), ("n_values", pa.int64()), ("n_readable", pa.int64()), ("lo", pa.string()), ("hi", pa.string()), ("items", pa.list_(pa.string()))])
+            shape = pa.struct([("version", version_type), ("latest", pa.string()), ("n_values", pa.int64()), ("n_readable", pa.int64()), ("lo", pa.string()), ("hi", pa.string()), ("items", pa.list_(pa.string()))])
             return pa.RecordBatch.from_arrays(list(_delta(t, shape)), schema.names)
 
         for b in batches:
@@ -147,25 +199,51 @@ def explode_cells(delta: DataFrame, entity: str) -> DataFrame:
     return delta.select(entity, F.explode("cells").alias("attr", "cell")).select(entity, "attr", "cell.*")
 
 
+#: Rows of a compaction merged at once.
+MERGE_ROWS = 1 << 16
+
+
 def compact(*runs: DataFrame, entity: str) -> DataFrame:
-    """One sparse wide row per entity out of any number of runs, merged cell by cell in one shuffle by entity.
+    """One sorted run out of any number of runs: a sparse wide row per entity, merged cell by cell in one shuffle by entity.
 
     The counts of values add up, so a batch must not be compacted twice into the counts; the typed state and the latest
-    value don't change if it is. The result is itself a run, sorted by entity within its partitions.
+    value don't change if it is. Rows of one entity follow each other in the order of the shuffle's merge, so the pass over
+    them is a stream and holds one merged row of an entity at most.
     """
-    deltas = reduce(DataFrame.unionByName, runs).repartition(entity)
-    cells = explode_cells(deltas, entity)
-    top = F.max(F.when(F.col("latest").isNotNull(), F.struct("version", F.col("latest").alias("value"))))
-    cells = cells.groupBy(entity, "attr").agg(F.min("kind").alias("kind"), top.alias("top"), F.sum("n_values").alias("n_values"), F.sum("n_readable").alias("n_readable"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
-    cell = F.struct("kind", F.col("top.version").alias("version"), F.col("top.value").alias("latest"), "n_values", "n_readable", "lo", "hi", "items")
-    wide = cells.groupBy(entity).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("attr"), cell.alias("cell"))))).alias("cells"))
-    return wide.sortWithinPartitions(entity)
+    rows = reduce(DataFrame.unionByName, runs).select(entity, "cells").repartition(entity).sortWithinPartitions(entity)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        n = 0
+        for b in batches:
+            if b.num_rows:
+                held.append(b)
+                n += b.num_rows
+            if n >= MERGE_ROWS:
+                t = _merged(pa.Table.from_batches(held))
+                # the last entity may go on
+                yield from t.slice(0, t.num_rows - 1).to_batches()
+                held, n = t.slice(t.num_rows - 1).combine_chunks().to_batches(), 1
+        if held:
+            yield from _merged(pa.Table.from_batches(held)).to_batches()
+
+    return rows.mapInArrow(run, rows.schema)
+
+
+def write_run(delta: DataFrame, path: str, name: str | int, entity: str) -> None:
+    """Store deltas as the sorted run ``name`` under a shared path; writing a name again replaces it."""
+    delta.repartition(entity).sortWithinPartitions(entity).write.mode("overwrite").parquet(os.path.join(path, f"run={name}"))
+
+
+def read_runs(spark: SparkSession, path: str) -> DataFrame:
+    """All stored runs, to be compacted."""
+    return spark.read.parquet(path).drop("run")
 
 
 def unsettled(run: DataFrame, entity: str) -> DataFrame:
     """Cells with values whose readable ones are not exactly one distinct typed value: (entity, attr). List cells never are."""
-    c = explode_cells(run, entity).filter((F.col("kind") != "list") & (F.col("n_values") > 0))
-    return c.filter((F.col("n_readable") == 0) | (F.col("lo") != F.col("hi"))).select(entity, "attr")
+    c = explode_cells(run, entity).filter(F.col("items").isNull() & (F.col("n_values") > 0))
+    return c.filter(F.col("lo").isNull() | F.col("hi").isNotNull()).select(entity, "attr")
 
 
 def to_wide(run: DataFrame, types: dict[str, str], entity: str, policy: str = "settled") -> DataFrame:
@@ -182,10 +260,10 @@ def to_wide(run: DataFrame, types: dict[str, str], entity: str, policy: str = "s
         if kind == "list":
             v = F.when(F.size(c["items"]) > 0, c["items"])
         elif policy == "settled":
-            v = F.when(c["lo"] == c["hi"], c["lo"]).try_cast(SQL_TYPES[kind])
+            v = F.when(c["hi"].isNull(), c["lo"]).try_cast(SQL_TYPES[kind])
         else:
             v = typed_spelling(c["latest"], F.lit(kind)).try_cast(SQL_TYPES[kind])
         out.append(v.alias(a if a not in (entity, "other") else f"{a}_attr"))
     rest = F.map_filter("cells", lambda k, v: ~k.isin(*types) if types else F.lit(True))
-    pick = (lambda k, v: F.when(v["lo"] == v["hi"], v["lo"])) if policy == "settled" else (lambda k, v: v["latest"])
+    pick = (lambda k, v: F.when(v["hi"].isNull(), v["lo"])) if policy == "settled" else (lambda k, v: v["latest"])
     return run.select(*out, F.transform_values(rest, pick).alias("other"))

@@ -65,20 +65,27 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return split_packed(table(spark, d, "gff"), {"attributes": ATTRIBUTES, "parent": PARENTS}, ["line_id"])
 
 
-def _delta(spark: SparkSession, d: str) -> DataFrame:
-    return to_delta(table(spark, d, "attr_rows"), table(spark, d, "attr_types"), "feature_id", "attr", "attr_value", "loaded_at")
+def _run(spark: SparkSession, d: str) -> DataFrame:
+    """The attribute rows as sorted runs, stored, and compacted."""
+    runs = checkpointed(to_delta(table(spark, d, "attr_rows"), table(spark, d, "attr_types"), "feature_id", "attr", "attr_value", "loaded_at"))
+    return compact(runs, entity="feature_id")
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    return unsettled(compact(_delta(spark, d), entity="feature_id"), "feature_id")
+    return unsettled(_run(spark, d), "feature_id")
 
 
-def p6_wide(spark: SparkSession, d: str) -> DataFrame:
+def p6_wide(spark: SparkSession, d: str, policy: str = "settled") -> DataFrame:
     """One row per feature with a typed column per attribute; the map of other attributes as sorted pairs."""
-    wide = to_wide(compact(_delta(spark, d), entity="feature_id"), ATTR_TYPES, "feature_id")
+    wide = to_wide(_run(spark, d), ATTR_TYPES, "feature_id", policy)
     return wide.withColumn("other", F.array_sort(F.transform(F.map_entries("other"), lambda e: F.concat_ws("=", e["key"], e["value"]))))
 
 
+def p6_latest(spark: SparkSession, d: str) -> DataFrame:
+    """The same with the value of the latest version in each cell."""
+    return p6_wide(spark, d, "latest")
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     found = resolve(table(spark, d, "nodes"), "tax", "parent").filter("kind <> 'root'")
     return found.select(F.col("node").alias("tax"), "kind", "top", "steps")
@@ -105,7 +112,7 @@ def p7_gi(spark: SparkSession, d: str) -> DataFrame:
     return gi.join(paths, "tax", "left").select("gi", "tax", "root", "depth", "path")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_islands, p4_found, p4_report, p5_found, p6_found, p6_wide, p7_found, p7_paths, p7_descendants, p7_gi)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_islands, p4_found, p4_report, p5_found, p6_found, p6_wide, p6_latest, p7_found, p7_paths, p7_descendants, p7_gi)}
 
 _ISLANDS = """
 with u as (select line_id, seqname, start_pos s, end_pos e from gff where start_pos <= end_pos),
@@ -127,19 +134,20 @@ o as (select refs.* from refs left join b on b.id = parent_ref left join g on g.
       where not (coalesce(b.r <= release_tag, false) and not coalesce(g.r <= release_tag, false)))
 """
 _CELLS = r"""
-with a as (select feature_id, lower(trim(attr, e' \t\r\n')) attr, trim(attr_value, e' \t\r\n') v from attr_rows),
-b as (select feature_id, attr, case when length(v) >= 2 and v like '"%"' then trim(v[2:-2], e' \t\r\n') else v end v from a where feature_id is not null and attr <> ''),
-d as (select b.feature_id, b.attr, case when v <> '' and v <> '.' then v end v, coalesce(value_type, 'text') k from b left join attr_types using (attr)),
+with a as (select feature_id, lower(trim(attr, e' \t\r\n')) attr, trim(attr_value, e' \t\r\n') v, loaded_at from attr_rows),
+b as (select feature_id, attr, case when length(v) >= 2 and v like '"%"' then trim(v[2:-2], e' \t\r\n') else v end v, loaded_at from a where feature_id is not null and attr <> ''),
+d as (select b.feature_id, b.attr, case when v <> '' and v <> '.' then v end v, coalesce(value_type, 'text') k, loaded_at from b left join attr_types using (attr)),
 e as (select *, case k
   when 'integer' then case when regexp_full_match(v, '[+-]?[0-9]+') then try_cast(v as hugeint)::varchar end
   when 'number' then case when regexp_full_match(v, '[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?') then (try_cast(v as double) + 0.0)::varchar end
   when 'flag' then case when lower(v) in ('true', 't', 'yes', '1') then 'true' when lower(v) in ('false', 'f', 'no', '0') then 'false' end
   when 'day' then case when regexp_full_match(v, '\d{4}-\d{2}-\d{2}') then try_cast(v as date)::varchar end
   else v end t from d),
-c as (select feature_id, attr, k, count(v) n, count(distinct t) m, min(t) t, list_sort(list_distinct(list(v) filter (v is not null))) items from e group by all)
+c as (select feature_id, attr, k, count(v) n, count(distinct t) m, min(t) t, list_sort(list_distinct(list(v) filter (v is not null))) items from e group by feature_id, attr, k)
 """
 _SQL_TYPES = {"text": "varchar", "integer": "bigint", "number": "double", "flag": "boolean", "day": "date"}
 _WIDE = ", ".join(f"max(case when attr = '{a}' and m = 1 then t end)::{_SQL_TYPES[k]} as {a}" if k != "list" else f"max(case when attr = '{a}' and len(items) > 0 then items end) as {a}" for a, k in ATTR_TYPES.items())
+_LATEST = ", ".join(f"max(case when c.attr = '{a}' then l.t end)::{_SQL_TYPES[k]} as {a}" if k != "list" else f"max(case when c.attr = '{a}' and len(items) > 0 then items end) as {a}" for a, k in ATTR_TYPES.items())
 _NAMES = ", ".join(f"'{a}'" for a in ATTR_TYPES)
 _CHAINS = """
 with recursive links as (select tax, nullif(min(parent), tax) p from nodes where tax is not null group by tax),
@@ -162,6 +170,7 @@ SQL = {
     "p5_found": f"select line_id, field, item_no, item from ({_ATTR_SPLIT}) union all select line_id, field, item_no, item from ({_PARENT_SPLIT})",
     "p6_found": _CELLS + "select feature_id, attr from c where k <> 'list' and n > 0 and m <> 1",
     "p6_wide": _CELLS + f"select feature_id, {_WIDE}, list_sort(coalesce(list(attr || case when m = 1 then '=' || t else '' end) filter (attr not in ({_NAMES})), [])) as other from c group by feature_id",
+    "p6_latest": _CELLS + f", l as (select feature_id, attr, v, t from e where v is not null qualify row_number() over (partition by feature_id, attr order by loaded_at desc nulls last, v desc) = 1) select c.feature_id, {_LATEST}, list_sort(coalesce(list(c.attr || coalesce('=' || l.v, '')) filter (c.attr not in ({_NAMES})), [])) as other from c left join l using (feature_id, attr) group by c.feature_id",
     "p7_found": _CHAINS + "select tax, kind, top, steps from found where kind <> 'root'",
     "p7_paths": _CHAINS + _PATHS.replace(" end path", " else '' end path") + ", kind from found",
     "p7_descendants": _CHAINS + "select ancestor, tax as descendant, t.i - 1 as distance from found, unnest(way) with ordinality as t(ancestor, i) where kind = 'root' and t.i > 1",

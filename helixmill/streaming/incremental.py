@@ -32,9 +32,9 @@ def windowed_counts(events: DataFrame, ts: str, key: str, width: str = "5 minute
 
 
 def upsert_stream(rows: DataFrame, types: DataFrame, path: str, entity: str, attr: str, value: str, version: str) -> DataStreamWriter:
-    """Writes the sparse wide delta of each micro-batch under its number, to be compacted by ``wide.compact``."""
+    """Writes each micro-batch as a sorted run under its number; ``wide.compact(wide.read_runs(...))`` brings them together."""
 
     def batch(df: DataFrame, no: int) -> None:
-        wide.to_delta(df, types, entity, attr, value, version).write.mode("overwrite").parquet(os.path.join(path, f"batch={no}"))
+        wide.write_run(wide.to_delta(df, types, entity, attr, value, version), path, no, entity)
 
     return rows.writeStream.foreachBatch(batch)

@@ -31,6 +31,7 @@ def test_spellings(spark):
 
 def test_cells(spark, monkeypatch):
     monkeypatch.setattr(wide, "BATCH_ROWS", 3)
+    monkeypatch.setattr(wide, "MERGE_ROWS", 2)
     rows = [
         ("a", " Level", "1", t(1), "x"), ("a", "level ", "01", t(2), "x"), ("a", "SHARE", "1.0", t(1), "x"), ("a", "share", "2", t(3), "x"),
         ("b", "ok", "maybe", t(1), "x"), ("b", "day", None, t(1), "x"), ("b", "tags", "q", t(1), "x"), ("b", "tags", "p", t(2), "x"), ("b", "tags", "p", t(2), "x"),
@@ -56,6 +57,7 @@ def test_cells(spark, monkeypatch):
 @pytest.mark.parametrize("seed", range(2))
 def test_random(spark, seed, monkeypatch):
     monkeypatch.setattr(wide, "BATCH_ROWS", 20)
+    monkeypatch.setattr(wide, "MERGE_ROWS", 7)
     rnd = random.Random(seed)
     pool = {"level": ["1", "01", "2", "x", None, ""], "name": ["n", "m", None, '"n"'], "tags": ["a", "b", None], "ok": ["t", "TRUE", "f", "?"]}
     rows = [(rnd.choice(["hot", "hot", "u", "v", "w"]), a := rnd.choice(list(pool)), rnd.choice(pool[a]), t(rnd.randrange(9)), "") for _ in range(200)]
