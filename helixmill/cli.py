@@ -6,9 +6,10 @@ import argparse
 import sys
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from helixmill.operators import histograms, joins, kmers, lookups
-from helixmill.plans.front import open_table, pick_columns, rewrite_condition, run_query
+from helixmill.operators import bitsets, histograms, joins, kmers, lookups
+from helixmill.plans.front import open_study, open_table, pick_columns, rewrite_condition, run_query
 from helixmill.session import get_spark
 from helixmill.sources import features, ontologies, sequences, sinks
 
@@ -45,6 +46,9 @@ def _parser() -> argparse.ArgumentParser:
     add("histogram", o("-d", "--data", action="append", required=True), o("-c", "--column", required=True), o("--begin", type=float), o("--end", type=float), o("--stride", type=float), o("-a", "--adaptive", action="store_true"), o("-n", "--bins", type=int, default=25), o("-w", "--where"))
     add("scatter", o("-d", "--data", action="append", required=True), o("-c1", required=True), o("-c2", required=True), o("-b1", type=int, default=25), o("-b2", type=int, default=25), o("-n1", type=float), o("-n2", type=float), o("-x1", type=float), o("-x2", type=float), o("-a", "--adaptive", action="store_true"), o("-w", "--where"))
     add("interval-join", o("-d1", required=True), o("-d2", required=True), o("-c1"), o("-c2"), o("-w1"), o("-w2"), o("-l", "--left", type=int, default=1000), o("-r", "--right", type=int, default=1000), o("-sm", "--same-strand", action="store_true"), o("-sw", "--stranded-windows", action="store_true"), o("-b", "--bins", type=int, default=0), o("--write"))
+    add("study-chain", o("-d", "--data", required=True, help="folder of the three tables"), o("--study", required=True), o("-s", "--select", default="GO_term, count(*) as tally"), o("-w", "--where"))
+    add("bits", o("--op", choices=("!", "&", "|", "^", "-", "count", "spans", "phi", "best-phi"), required=True), o("-d", "--data", required=True, help="table of (set_id, pos)"), o("-l", "--left"), o("-r", "--right"), o("--size", type=int))
+    add("overlap-test", o("-d1", required=True), o("-d2", required=True), o("-n", type=int, default=100), o("--seed", type=int, default=0))
     add("load-bed", o("-i", "--input", required=True), o("-o", "--out", required=True), out=False)
     add("load-gff", o("-i", "--input", required=True), o("-o", "--out", required=True), o("-a", "--attributes", default=""), out=False)
     add("obo", o("-i", "--input", required=True), o("-o", "--out", required=True), out=False)
@@ -75,11 +79,22 @@ def run(spark: SparkSession, a: argparse.Namespace) -> None:
         _emit(histograms.scatter(open_table(spark, a.data), a.c1, a.c2, a.n1, a.x1, a.b1, a.n2, a.x2, a.b2, a.where, a.adaptive), a.out, a.format)
     elif c == "interval-join":
         x, y = open_table(spark, a.d1), open_table(spark, a.d2)
-        df = joins.interval_join(x, y, a.left, a.right, a.same_strand, a.stranded_windows, a.bins, pick_columns(x, a.c1), pick_columns(y, a.c2), a.w1, a.w2)
+        df = joins.interval_join(x, y, a.left, a.right, a.same_strand, a.stranded_windows, a.bins, pick_columns(x, a.c1), pick_columns(y, a.c2), a.w1, a.w2, ordered=not a.write)
         if a.write:
             sinks.write_sorted(df, a.write, ["start", "end"])
         else:
             _emit(df, a.out, a.format)
+    elif c == "study-chain":
+        part = lambda name: open_table(spark, f"{a.data}/{name}")
+        hits = open_study(spark, f"{a.data}/GWAS", a.study).filter(rewrite_condition(a.where))
+        _emit(joins.semi_join_chain([(hits, "", "snp_id"), (part("snp_consequences"), "snp_id", "gene_id")], part("gene2GO"), "gene_id", a.select), a.out, a.format)
+    elif c == "bits":
+        bits = open_table(spark, a.data)
+        whole = {"count": bitsets.counts, "spans": bitsets.spans, "phi": lambda x: bitsets.phi(x, a.size), "best-phi": lambda x: bitsets.best_phi(x, a.size)}
+        one = lambda name: bits.filter(F.col("set_id").cast("string") == name)
+        _emit(whole[a.op](bits) if a.op in whole else bitsets.logical(a.op, one(a.left), one(a.right) if a.right else None, a.size), a.out, a.format)
+    elif c == "overlap-test":
+        _emit(bitsets.mc_overlap(open_table(spark, a.d1), open_table(spark, a.d2), a.n, a.seed), a.out, a.format)
     elif c == "load-bed":
         features.write_features(features.read_bed(spark, a.input), a.out, ["chr"])
     elif c == "load-gff":

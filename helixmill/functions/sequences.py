@@ -57,6 +57,11 @@ def trailing_zeros(x: Column) -> Column:
     return F.when(x != 0, F.bit_count(x.bitwiseAND(-x) - 1))
 
 
+def leading_zeros(x: Column) -> Column:
+    """Number of zero bits above the highest set bit of a 64-bit word; 64 for 0."""
+    return F.lit(64) - F.when(x == 0, 0).otherwise(F.length(F.bin(x)))
+
+
 def register(spark: SparkSession) -> None:
     """SQL names for the sequence functions: ``revcomp(seq)``, ``canonical(seq)``, ``strand_code(s)``, and the table function
     ``kmers(seq, k)``, the windows of the runs of A, C, G, T."""

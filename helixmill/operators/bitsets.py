@@ -9,7 +9,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -42,20 +41,11 @@ def to_arrays(bits: DataFrame) -> DataFrame:
 
 
 def spans(bits: DataFrame) -> DataFrame:
-    """Merged inclusive runs (set_id, from_pos, to_pos).
+    """Merged inclusive runs (set_id, from_pos, to_pos), by a range sort with carried state: no task orders a whole set."""
+    from helixmill.operators.islands import periods_and_gaps
 
-    Positions fall in blocks of 65,536; runs are found inside blocks and joined where they touch a block's edge, so no task
-    orders a whole set.
-    """
-    w = Window.partitionBy("set_id", "block").orderBy("pos")
-    d = bits.withColumn("block", F.floor(F.col("pos") / 65536).cast("bigint"))
-    d = d.withColumn("grp", F.col("pos") - F.row_number().over(w)).groupBy("set_id", "block", "grp").agg(F.min("pos").alias("f"), F.max("pos").alias("t"))
-    inner = d.filter((F.col("f") % 65536 != 0) & ((F.col("t") + 1) % 65536 != 0)).select("set_id", F.col("f").alias("from_pos"), F.col("t").alias("to_pos"))
-    # runs at edges: at most two a block
-    edge = d.filter((F.col("f") % 65536 == 0) | ((F.col("t") + 1) % 65536 == 0)).select("set_id", "f", "t")
-    by_set = Window.partitionBy("set_id").orderBy("f")
-    edge = edge.withColumn("new", F.when(F.col("f") == F.lag("t").over(by_set) + 1, 0).otherwise(1)).withColumn("run", F.sum("new").over(by_set))
-    return inner.unionByName(edge.groupBy("set_id", "run").agg(F.min("f").alias("from_pos"), F.max("t").alias("to_pos")).drop("run"))
+    runs = periods_and_gaps(bits.select("set_id", "pos", F.col("pos").alias("to_pos")), ["set_id"], "pos", "to_pos")
+    return runs.filter("kind = 'period'").select("set_id", F.col("pos").alias("from_pos"), "to_pos")
 
 
 def from_runs(runs: DataFrame, set_id: str, order: str, bit: str, length: str) -> DataFrame:
@@ -94,12 +84,12 @@ def complement(a: DataFrame, size: int) -> DataFrame:
 
 
 def logical(op: str, left: DataFrame, right: DataFrame | None = None, size: int | None = None) -> DataFrame:
-    """The operation named by ``!``, ``&``, ``|`` or ``^``."""
+    """The operation named by ``!``, ``&``, ``|``, ``^`` or ``-``."""
     if op == "!":
         if size is None:
             raise ValueError("a complement needs the size")
         return complement(left, size)
-    return {"&": intersect, "|": union, "^": xor}[op](left, right)
+    return {"&": intersect, "|": union, "^": xor, "-": minus}[op](left, right)
 
 
 def union_all(bits: DataFrame) -> DataFrame:
@@ -137,6 +127,68 @@ def to_bitmaps(bits: DataFrame) -> DataFrame:
     return bits.groupBy("set_id", F.bitmap_bucket_number("pos").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("pos")).alias("bitmap"))
 
 
+#: Bits of a binary bitmap. Bucket b >= 1 holds the positions (b - 1) * BUCKET + 1 to b * BUCKET, bucket 0 only position 0.
+BUCKET = 1 << 15
+
+
+def from_bitmaps(bitmaps: DataFrame) -> DataFrame:
+    """(set_id, pos) of binary bitmaps: the inverse of ``to_bitmaps``. Null bitmaps hold nothing. No shuffle."""
+    kind = bitmaps.schema["set_id"].dataType
+    schema = T.StructType([T.StructField("set_id", kind), T.StructField("pos", T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, (bucket, data) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist())):
+                if data is None or bucket is None:
+                    continue
+                bit = np.flatnonzero(np.unpackbits(np.frombuffer(data, np.uint8), bitorder="little"))
+                pos = (bucket - 1) * BUCKET + bit + 1 if bucket > 0 else bucket * BUCKET - bit
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(np.full(len(pos), i))), pa.array(pos.astype(np.int64))], schema.names)
+
+    return bitmaps.select("set_id", F.col("bucket").cast("bigint").alias("bucket"), "bitmap").mapInArrow(run, schema)
+
+
+def full_bitmaps(spark: SparkSession, size: int) -> DataFrame:
+    """(bucket, bitmap) of all positions of [0, size)."""
+    last = -(-(size - 1) // BUCKET) if size > 0 else -1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            maps = []
+            for k in b.column(0).to_pylist():
+                n = 1 if k == 0 else min(BUCKET, size - 1 - (k - 1) * BUCKET)
+                bits = np.zeros(BUCKET, bool)
+                bits[:n] = True
+                maps.append(np.packbits(bits, bitorder="little").tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(maps, pa.binary())], ["bucket", "bitmap"])
+
+    return spark.range(last + 1).select(F.col("id").alias("bucket")).mapInArrow(run, "bucket long, bitmap binary")
+
+
+def combine_bitmaps(op: str, a: DataFrame, b: DataFrame | None = None, size: int | None = None) -> DataFrame:
+    """(bucket, bitmap) of ``&``, ``|``, ``^``, ``-`` (and not) of two single sets of bitmaps (bucket, bitmap), or of ``!``, the
+    complement of the first in [0, size). A bucket that one side lacks is empty there; buckets left without bits are dropped."""
+    if op == "!":
+        if size is None:
+            raise ValueError("a complement needs the size")
+        a, b, op = full_bitmaps(a.sparkSession, size), a, "-"
+    apply = {"&": np.bitwise_and, "|": np.bitwise_or, "^": np.bitwise_xor, "-": lambda x, y: x & ~y}[op]
+    side = lambda d, c: d.select(F.col("bucket").cast("bigint").alias("bucket"), F.col("bitmap").alias(c))
+    both = side(a, "x").join(side(b, "y"), "bucket", {"&": "inner", "-": "left"}.get(op, "full_outer"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none = bytes(BUCKET // 8)
+        for t in batches:
+            for lo in range(0, t.num_rows, 1024):
+                part = t.slice(lo, 1024)
+                x, y = (np.frombuffer(b"".join(v or none for v in part.column(i).to_pylist()), np.uint8).reshape(-1, BUCKET // 8) for i in (1, 2))
+                got = apply(x, y)
+                keep = np.flatnonzero(got.any(1))
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(keep)), pa.array([got[i].tobytes() for i in keep], pa.binary())], ["bucket", "bitmap"])
+
+    return both.select("bucket", "x", "y").mapInArrow(run, "bucket long, bitmap binary")
+
+
 def merge_bitmaps(bitmaps: DataFrame, op: str = "|") -> DataFrame:
     """(bucket, bitmap) over all sets; for ``&`` only buckets that every set has can hold common bits."""
     if op == "|":
@@ -155,35 +207,59 @@ def bitmap_bytes(bitmaps: DataFrame) -> DataFrame:
     return bitmaps.groupBy("set_id").agg(F.sum(F.octet_length("bitmap")).cast("bigint").alias("bytes"))
 
 
+#: Sets of a block: a tile of two blocks is one task's worth of pairs.
+TILE = 256
+
+
+def _blocks(bits: DataFrame) -> int:
+    return max(1, -(-bits.select("set_id").distinct().count() // TILE))
+
+
+def _tiles(sets: DataFrame, blocks: int) -> DataFrame:
+    """Each row once for every tile, a pair of blocks (lo, hi), that its set's block takes part in; ``block`` is its own."""
+    d = sets.withColumn("block", F.pmod(F.xxhash64("set_id"), F.lit(blocks)).cast("int"))
+    d = d.withColumn("__other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    return d.withColumn("lo", F.least("block", "__other")).withColumn("hi", F.greatest("block", "__other")).drop("__other")
+
+
 def overlap_counts(bits: DataFrame) -> DataFrame:
     """(a, b, n11) of all pairs a < b of sets that share a position; null sets have no pairs.
 
-    Sets meet as bitmaps, a bucket of 32,768 positions at a time, and a bucket's pairs are counted by one matrix product; so
-    what is sent on is at most a row per pair and bucket, however many positions two sets share.
+    Sets fall in blocks of about TILE, and pairs of blocks are tiles. Bitmaps meet by tile and bucket of 32,768 positions, and
+    the pairs of a meeting are counted by one matrix product: a task holds the bitmaps of two blocks, whatever the number of
+    sets, and what is sent on is at most a row per pair and bucket, however many positions two sets share.
     """
-    maps = to_bitmaps(bits.filter("set_id is not null"))
+    return _overlaps(bits.filter("set_id is not null"))
+
+
+def _overlaps(bits: DataFrame, blocks: int | None = None) -> DataFrame:
+    maps = _tiles(to_bitmaps(bits), blocks or _blocks(bits))
     kind = maps.schema["set_id"].dataType
     schema = T.StructType([T.StructField("a", kind), T.StructField("b", kind), T.StructField("n11", T.LongType())])
 
     def pairs(t: pa.Table) -> pa.Table:
-        ids = t.column("set_id").combine_chunks()
-        order = pc.sort_indices(ids)
-        ids = ids.take(order)
-        packed = np.stack([np.frombuffer(v, np.uint8) for v in t.column("bitmap").take(order).to_pylist()])
-        n = np.zeros((len(ids), len(ids)), np.int64)
-        for lo in range(0, packed.shape[1], 256):
-            part = np.unpackbits(packed[:, lo : lo + 256], axis=1).astype(np.float32)
-            n += (part @ part.T).astype(np.int64)
-        i, j = np.nonzero(np.triu(n, 1))
-        return pa.table([ids.take(pa.array(i)), ids.take(pa.array(j)), pa.array(n[i, j])], names=["a", "b", "n11"])
-
-    return maps.groupBy("bucket").applyInArrow(pairs, schema).groupBy("a", "b").agg(F.sum("n11").alias("n11"))
-
-
-def phi(bits: DataFrame, size: int | None = None, pairs: DataFrame | None = None) -> DataFrame:
+        order = pc.sort_indices(t.column("set_id"))
+        t = t.take(order)
+        ids, block = t.column("set_id").combine_chunks(), t.column("block").to_numpy()
+        packed = np.stack([np.frombuffer(v, np.uint8) for v in t.column("bitmap").to_pylist()])
+        same = t.column("lo")[0].as_py() == t.column("hi")[0].as_py()
+        left = np.flatnonzero(block == t.column("lo")[0].as_py())
+        right = left if same else np.flatnonzero(block == t.column("hi")[0].as_py())
+        n = np.zeros((len(left), len(right)), np.int64)
+        for at in range(0, packed.shape[1], 256):
+            part = np.unpackbits(packed[:, at : at + 256], axis=1).astype(np.float32)
+            n += (part[left] @ part[right].T).astype(np.int64)
+        i, j = np.nonzero(np.triu(n, 1) if same else n)
+        x, y = left[i], right[j]
+        return pa.table([ids.take(pa.array(np.minimum(x, y))), ids.take(pa.array(np.maximum(x, y))), pa.array(n[i, j])], names=["a", "b", "n11"])
+
+    return maps.groupBy("lo", "hi", "bucket").applyInArrow(pairs, schema).groupBy("a", "b").agg(F.sum("n11").alias("n11"))
+
+
+def phi(bits: DataFrame, size: int | None = None) -> DataFrame:
     """(a, b, phi) of all pairs a < b: the phi coefficient over a universe of ``size`` bits, or of the larger set's size.
 
-    Null where a set is empty or full. ``phi2`` instead takes the union of the two as the universe.
+    Null where a set is empty or full. ``phi2`` instead takes the union of the two as the universe. Pairs are made tile by tile.
     """
     return _phi(bits, size, False)
 
@@ -194,9 +270,15 @@ def phi2(bits: DataFrame) -> DataFrame:
 
 
 def _phi(bits: DataFrame, size: int | None, over_union: bool) -> DataFrame:
-    c = counts(bits)
-    ca, cb = c.select(F.col("set_id").alias("a"), F.col("cnt").alias("na"), F.col("size").alias("sa")), c.select(F.col("set_id").alias("b"), F.col("cnt").alias("nb"), F.col("size").alias("sb"))
-    p = ca.join(cb, F.col("a") < F.col("b")).join(overlap_counts(bits), ["a", "b"], "left").withColumn("n11", F.coalesce("n11", F.lit(0)).cast("double"))
+    bits = bits.filter("set_id is not null")
+    c = checkpointed(counts(bits))
+    blocks = max(1, -(-c.count() // TILE))
+    t = _tiles(c, blocks)
+    one = t.select("lo", "hi", "block", F.col("set_id").alias("a"), F.col("cnt").alias("na"), F.col("size").alias("sa"))
+    two = t.select("lo", "hi", F.col("block").alias("block_b"), F.col("set_id").alias("b"), F.col("cnt").alias("nb"), F.col("size").alias("sb"))
+    # in a tile of two blocks a pair takes one set of each
+    p = one.join(two, ["lo", "hi"]).filter((F.col("a") < F.col("b")) & ((F.col("lo") == F.col("hi")) | (F.col("block") != F.col("block_b"))))
+    p = p.join(_overlaps(bits, blocks), ["a", "b"], "left").withColumn("n11", F.coalesce("n11", F.lit(0)).cast("double"))
     n = F.col("na") + F.col("nb") - F.col("n11") if over_union else (F.lit(size) if size is not None else F.greatest("sa", "sb"))
     p = p.withColumn("n", n.cast("double")).withColumn("n10", F.col("na") - F.col("n11")).withColumn("n01", F.col("nb") - F.col("n11"))
     n00 = F.col("n") - F.col("n11") - F.col("n10") - F.col("n01")
@@ -206,8 +288,10 @@ def _phi(bits: DataFrame, size: int | None, over_union: bool) -> DataFrame:
 
 
 def best_phi(bits: DataFrame, size: int | None = None) -> DataFrame:
-    """The pair with the largest phi; of equal ones the first."""
-    return phi(bits, size).filter("phi is not null").orderBy(F.col("phi").desc(), "a", "b").limit(1)
+    """The pair with the largest phi; of equal ones the first. An aggregate: no order of all pairs."""
+    p = phi(bits, size).filter("phi is not null")
+    best = p.agg(F.min_by(F.struct("a", "b", "phi"), F.struct(-F.col("phi"), "a", "b")).alias("p")).filter("p is not null")
+    return best.select("p.*")
 
 
 def running_total(df: DataFrame, keys: list[str], value: str, out: str, descending: bool = False) -> DataFrame:
@@ -233,59 +317,31 @@ def random_bitset(spark: SparkSession, n: int = 25, top: int = 10_000, length: i
     return periods_and_gaps(d, ["k"], "from_pos", "to_pos").filter("kind = 'period'").select("from_pos", "to_pos")
 
 
-#: Intervals of a set that go to a task as arrays: 16 bytes each.
-MC_LIMIT = 1 << 20
+#: Buckets of the order in which a trial lays out the runs of a set.
+MC_BUCKETS = 4096
 
 
-def mc_overlap(a: DataFrame, b: DataFrame, n: int, seed: int = 0, limit: int = MC_LIMIT) -> DataFrame:
+def mc_overlap(a: DataFrame, b: DataFrame, n: int, seed: int = 0, buckets: int = MC_BUCKETS) -> DataFrame:
     """Monte-Carlo overlap of two sets of disjoint inclusive intervals (from_pos, to_pos): (observed, n, n_at_least).
 
     Each of ``n`` trials shuffles the runs of ones and of zeros of both sets apart, zips them with a random phase, and counts
-    the overlap again; ``n_at_least`` is the number of trials with at least the observed overlap. Trials spread over tasks;
-    up to ``limit`` intervals a set, the lists go to each of them; beyond, the runs themselves are shuffled over the cluster.
+    the overlap again; ``n_at_least`` is the number of trials with at least the observed overlap. Every run of every trial is
+    a row, so sets may have any size, and the answer to a seed does not depend on it.
     """
-    spark = a.sparkSession
-    if max(a.count(), b.count()) > limit:
-        return _mc_spread(a, b, n, seed)
-    lists = [sorted(map(tuple, d.select("from_pos", "to_pos").collect())) for d in (a, b)]
-    held = spark.sparkContext.broadcast([np.array(x, np.int64).reshape(-1, 2) for x in lists])
-
-    def overlap(x: np.ndarray, y: np.ndarray) -> int:
-        if not len(x) or not len(y):
-            return 0
-        # covered length of y below each point
-        base = np.concatenate(([0], np.cumsum(y[:, 1] - y[:, 0] + 1)))
-
-        def below(p: np.ndarray) -> np.ndarray:
-            i = np.searchsorted(y[:, 0], p, "right") - 1
-            return np.where(i < 0, 0, base[np.maximum(i, 0)] + np.clip(p - y[np.maximum(i, 0), 0], 0, (y[:, 1] - y[:, 0] + 1)[np.maximum(i, 0)]))
-
-        return int((below(x[:, 1] + 1) - below(x[:, 0])).sum())
-
-    def shuffled(x: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-        if not len(x):
-            return x
-        ones = rng.permutation(x[:, 1] - x[:, 0] + 1)
-        gaps = np.concatenate((x[:1, 0], x[1:, 0] - x[:-1, 1] - 1))
-        gaps = rng.permutation(gaps)
-        if rng.integers(2):
-            start = np.cumsum(gaps) + np.concatenate(([0], np.cumsum(ones)[:-1]))
-        else:
-            start = np.concatenate(([0], np.cumsum(ones + gaps)[:-1]))
-        return np.stack((start, start + ones - 1), 1)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        x, y = held.value
-        seen = overlap(x, y)
-        for d in batches:
-            hits = 0
-            for t in d["id"]:
-                rng = np.random.default_rng([seed, int(t)])
-                hits += overlap(shuffled(x, rng), shuffled(y, rng)) >= seen
-            yield pd.DataFrame({"observed": [seen], "n": [len(d)], "hits": [hits]})
-
-    out = spark.range(n).mapInPandas(run, "observed long, n long, hits long")
-    return out.agg(F.max("observed").alias("observed"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("hits"), F.lit(0)).alias("n_at_least"))
+    from helixmill.operators.joins import interval_join
+
+    def overlap(x: DataFrame, y: DataFrame) -> DataFrame:
+        j = interval_join(x, y, 0, 0, chrom="trial")
+        shared = F.least("A__end", "B__end") - F.greatest("A__start", "B__start") + 1
+        return j.groupBy("A__trial").agg(F.sum(shared).alias("c")).withColumnRenamed("A__trial", "trial")
+
+    as_is = lambda d: d.select(F.lit(0).alias("trial"), F.col("from_pos").alias("start"), F.col("to_pos").alias("end"))
+    seen = overlap(as_is(a), as_is(b)).agg(F.coalesce(F.sum("c"), F.lit(0)).alias("observed"))
+    # the join looks at its sides before it runs
+    tries = overlap(checkpointed(_laid_out(a, n, seed, buckets)), checkpointed(_laid_out(b, n, seed + 1, buckets)))
+    every = a.sparkSession.range(n).select(F.col("id").cast("int").alias("trial")).join(tries, "trial", "left").select(F.coalesce("c", F.lit(0)).alias("c"))
+    # one row of the observed overlap meets one row a trial
+    return every.crossJoin(F.broadcast(seen)).groupBy("observed").agg(F.count("*").alias("n"), F.count_if(F.col("c") >= F.col("observed")).alias("n_at_least"))
 
 
 def _laid_out(iv: DataFrame, trials: int, seed: int, buckets: int) -> DataFrame:
@@ -316,19 +372,3 @@ def _laid_out(iv: DataFrame, trials: int, seed: int, buckets: int) -> DataFrame:
     first = F.xxhash64("trial", F.lit(seed)) % 2 == 0
     start = F.col("one_before") + F.col("zero_before") + F.when(first, F.col("zero_n")).otherwise(0)
     return both.select("trial", start.alias("start"), (start + F.col("one_n") - 1).alias("end"))
-
-
-def _mc_spread(a: DataFrame, b: DataFrame, n: int, seed: int, buckets: int = 4096) -> DataFrame:
-    """The same trials with every run a row: for sets of any size."""
-    from helixmill.operators.joins import interval_join
-
-    def overlap(x: DataFrame, y: DataFrame) -> DataFrame:
-        j = interval_join(x, y, 0, 0, chrom="trial")
-        shared = F.least("A__end", "B__end") - F.greatest("A__start", "B__start") + 1
-        return j.groupBy("A__trial").agg(F.sum(shared).alias("c")).withColumnRenamed("A__trial", "trial")
-
-    as_is = lambda d: d.select(F.lit(0).alias("trial"), F.col("from_pos").alias("start"), F.col("to_pos").alias("end"))
-    seen = overlap(as_is(a), as_is(b)).agg(F.coalesce(F.sum("c"), F.lit(0)).alias("observed"))
-    tries = overlap(_laid_out(a, n, seed, buckets), _laid_out(b, n, seed + 1, buckets))
-    every = a.sparkSession.range(n).select(F.col("id").cast("int").alias("trial")).join(tries, "trial", "left").select(F.coalesce("c", F.lit(0)).alias("c"))
-    return every.crossJoin(F.broadcast(seen)).groupBy("observed").agg(F.count("*").alias("n"), F.count_if(F.col("c") >= F.col("observed")).alias("n_at_least"))

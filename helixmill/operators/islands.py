@@ -165,7 +165,8 @@ def periods_and_gaps(df: DataFrame, keys: list[str], start: str, end: str) -> Da
     """
     names = [f"__e{i}" for i in range(len(keys))]
     src = _usable(df, keys, start, end, [])
-    merged = src.mapInArrow(_local_merge(len(keys)), src.schema)
+    # kept, as a range sort reads its input twice: to sample it and to sort it
+    merged = checkpointed(src.mapInArrow(_local_merge(len(keys)), src.schema))
     rows = _sorted(merged, names, "__start")
     carry, last = _carries(rows, names)
     k = len(keys)

@@ -72,21 +72,22 @@ def interval_join(
     start: str = "start",
     end: str = "end",
     strand: str = "strand",
-    method: str = "binned",
     bin_width: int = 1 << 14,
     compat: bool = False,
+    ordered: bool = False,
 ) -> DataFrame:
     """Pairs of A and B on one chromosome whose closed intervals overlap, A padded by ``left`` and ``right``.
 
     Result: ``start``, ``end`` of B relative to A's window, then ``A__*`` and ``B__*``. With ``same_strand`` only pairs of one
     strand match; with ``stranded_windows`` the paddings of antisense A rows are swapped and their coordinates flipped.
     ``bins`` > 0 gives coordinates in so many bins of the window; ``compat`` keeps the literal upper clamp of the binned form.
-    Method ``binned`` cuts the genome into bins of ``bin_width`` and joins on (chromosome, bin), so a chromosome that holds
-    most rows spreads over many tasks; a pair is kept only in the first bin both share, which makes it unique. Method
-    ``exact`` joins on the chromosome alone. Null coordinates or chromosomes match nothing.
+    ``ordered`` sorts the result by ``start``, ``end``. Null coordinates or chromosomes match nothing.
+
+    Intervals join on (chromosome, level, bin): an interval's level is that of the bins, four times wider from level to level
+    and of ``bin_width`` at the first, of which it meets about two. A row stands in the bins of its own level and in those of
+    the wider levels that the other table has, so a long interval makes as few copies as a short one and a chromosome that
+    holds most rows spreads over many tasks. A pair is kept at the wider of its two levels, in the first bin both share.
     """
-    if method not in ("binned", "exact"):
-        raise ValueError(f"unknown method {method}")
     a, b = a.filter(rewrite_condition(a_where)), b.filter(rewrite_condition(b_where))
     has = strand in a.columns, strand in b.columns
     keep_a, keep_b = a_cols or a.columns, b_cols or b.columns
@@ -104,16 +105,44 @@ def interval_join(
         x = av.filter(fa) if fa is not None else av
         y = bv.filter(fb) if fb is not None else bv
         overlap = (F.col("__be") >= F.col("__as") - before) & (F.col("__bs") <= F.col("__ae") + after)
-        on = (F.col("__ac") == F.col("__bc")) & overlap
-        if method == "binned":
-            first = lambda c: F.floor(c / bin_width).cast("bigint")
-            x = x.filter(F.col("__as") - before <= F.col("__ae") + after).withColumn("__a0", first(F.col("__as") - before)).withColumn("__abin", F.explode(F.sequence("__a0", first(F.col("__ae") + after))))
-            y = y.filter(F.col("__bs") <= F.col("__be")).withColumn("__b0", first(F.col("__bs"))).withColumn("__bbin", F.explode(F.sequence("__b0", first(F.col("__be")))))
-            on = on & (F.col("__abin") == F.col("__bbin")) & (F.col("__abin") == F.greatest("__a0", "__b0"))
-        j = x.join(y, on)
+        x = _leveled(x, "a", F.col("__as") - before, F.col("__ae") + after, bin_width)
+        y = _leveled(y, "b", F.col("__bs"), F.col("__be"), bin_width)
+        x, y = _binned(x, "a", _levels(y, "b"), bin_width), _binned(y, "b", _levels(x, "a"), bin_width)
+        on = (F.col("__ac") == F.col("__bc")) & (F.col("__al") == F.col("__bl")) & (F.col("__abin") == F.col("__bbin"))
+        once = (F.col("__abin") == F.greatest("__afirst", "__bfirst")) & ((F.col("__alevel") == F.col("__al")) | (F.col("__blevel") == F.col("__bl")))
+        j = x.join(y, on & overlap & once)
         s, e = _relative(F.col("__as"), F.col("__ae"), F.col("__bs"), F.col("__be"), before, after, left, flipped, bins, compat)
         out.append(j.select(s.alias("start"), e.alias("end"), *[F.col(f"`{c}`") for c in [*av.columns, *bv.columns] if c.startswith(("A__", "B__"))]))
-    return reduce(DataFrame.unionByName, out)
+    both = reduce(DataFrame.unionByName, out)
+    return both.orderBy("start", "end") if ordered else both
+
+
+#: Levels of bins: the widest holds any 64-bit coordinate.
+LEVELS = 24
+
+
+def _leveled(d: DataFrame, side: str, lo: Column, hi: Column, width: int) -> DataFrame:
+    """Usable intervals with their ends and their level."""
+    d = d.withColumn(f"__{side}lo", lo).withColumn(f"__{side}hi", hi).filter(F.col(f"__{side}lo") <= F.col(f"__{side}hi"))
+    long_ = F.col(f"__{side}hi") - F.col(f"__{side}lo")
+    level = F.ceil(F.log(4.0, F.greatest(long_ / F.lit(float(width)), F.lit(1.0)))).cast("int")
+    return d.withColumn(f"__{side}level", F.least(level, F.lit(LEVELS - 1)))
+
+
+def _levels(d: DataFrame, side: str) -> list[int]:
+    """The levels a table has: at most LEVELS numbers."""
+    return [r[0] for r in d.select(f"__{side}level").distinct().collect()]
+
+
+def _binned(d: DataFrame, side: str, others: list[int], width: int) -> DataFrame:
+    """A row for each bin of the interval at its own level and at the wider ones among ``others``."""
+    own, level = F.col(f"__{side}level"), F.col(f"__{side}l")
+    wider = F.filter(F.array(*[F.lit(x) for x in others]).cast("array<int>"), lambda x: x > own)
+    d = d.withColumn(f"__{side}l", F.explode(F.concat(F.array(own), wider)))
+    size = F.element_at(F.array(*[F.lit(min(width * 4**i, 1 << 62)) for i in range(LEVELS)]), level + 1)
+    first = lambda c: F.floor(F.col(c) / size).cast("bigint")
+    d = d.withColumn(f"__{side}first", first(f"__{side}lo"))
+    return d.withColumn(f"__{side}bin", F.explode(F.sequence(f"__{side}first", first(f"__{side}hi"))))
 
 
 def kv_upsert(df: DataFrame, key: str, value_col: str, kv: DataFrame, null_fill: str = "native") -> DataFrame:

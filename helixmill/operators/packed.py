@@ -14,7 +14,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,6 +37,8 @@ class Dialect:
 
 ATTRIBUTES = Dialect(delimiters=";|\t")
 PARENTS = Dialect(delimiters=",;| \t", unquote=True)
+#: The ninth column of feature files.
+FEATURE_ATTRIBUTES = Dialect(delimiters=";")
 
 
 def _table(chars: str) -> np.ndarray:
@@ -152,3 +154,15 @@ def split_packed(df: DataFrame, fields: dict[str, Dialect], keep: list[str], fie
                     yield pa.RecordBatch.from_arrays([*cols, pa.repeat(pa.scalar(n), len(r)), pa.array(nos[lo : lo + len(r)]), v.cast(pa.string())], [*keep, field, no, item])
 
     return src.mapInArrow(run, schema)
+
+
+def tokens(c: Column, d: Dialect) -> Column:
+    """The values of a packed field as an array, in their order; empty for null, empty and void contents."""
+
+    @F.arrow_udf(T.ArrayType(T.StringType()))
+    def cut(texts: pa.Array) -> pa.Array:
+        row, _, values = tokenize(texts, d)
+        ends = np.concatenate(([0], np.cumsum(np.bincount(row, minlength=len(texts)))))
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values.cast(pa.string()))
+
+    return cut(c)

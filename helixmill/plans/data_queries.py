@@ -127,6 +127,7 @@ from (select line_id, release_tag, feature_type, [y for y in [trim(x, e' \\t') f
 """
 _ATTR_SPLIT = _SPLIT.format(f="attributes", d=";|\\t", item="raw")
 _PARENT_SPLIT = _SPLIT.format(f="parent", d=",;| \\t", item="case when length(raw) > 1 and raw like '\"%\"' then raw[2:-2] else raw end")
+SPLIT = {"attributes": _ATTR_SPLIT, "parent": _PARENT_SPLIT}
 _ORPHANS = f"""
 with refs as (select line_id, feature_type, release_tag, item as parent_ref from ({_PARENT_SPLIT})),
 b as (select id, min(release_tag) r from gff group by id), g as (select id, min(retired_in) r from retired_ids group by id),
@@ -149,7 +150,7 @@ _SQL_TYPES = {"text": "varchar", "integer": "bigint", "number": "double", "flag"
 _WIDE = ", ".join(f"max(case when attr = '{a}' and m = 1 then t end)::{_SQL_TYPES[k]} as {a}" if k != "list" else f"max(case when attr = '{a}' and len(items) > 0 then items end) as {a}" for a, k in ATTR_TYPES.items())
 _LATEST = ", ".join(f"max(case when c.attr = '{a}' then l.t end)::{_SQL_TYPES[k]} as {a}" if k != "list" else f"max(case when c.attr = '{a}' and len(items) > 0 then items end) as {a}" for a, k in ATTR_TYPES.items())
 _NAMES = ", ".join(f"'{a}'" for a in ATTR_TYPES)
-_CHAINS = """
+CHAINS = """
 with recursive links as (select tax, nullif(min(parent), tax) p from nodes where tax is not null group by tax),
 up as (select tax, tax as cur, [tax] as way, 0::bigint as k from links
   union all
@@ -160,7 +161,7 @@ found as (select tax, way, k,
   case when absent then 'missing' when is_root then 'root' when pos = 0 then 'cycle' else 'below_cycle' end kind,
   case when absent or is_root then cur else list_min(way[pos + 1:]) end top, case when absent or is_root then k else pos end steps from ends)
 """
-_PATHS = "select tax, case when kind = 'root' then top end root, case when kind = 'root' then steps end depth, case when kind = 'root' then array_to_string(list_reverse(way), '/') end path"
+PATHS = "select tax, case when kind = 'root' then top end root, case when kind = 'root' then steps end depth, case when kind = 'root' then array_to_string(list_reverse(way), '/') end path"
 
 SQL = {
     "p2_found": _ISLANDS + ", p as (select seqname, k, min(s) s, max(e) e from i group by 1, 2), g as (select seqname, e + 1 s, lead(s) over (partition by seqname order by s) - 1 e from p) select seqname, 'period' kind, s start_pos, e end_pos from p union all select seqname, 'gap', s, e from g where e is not null",
@@ -171,8 +172,8 @@ SQL = {
     "p6_found": _CELLS + "select feature_id, attr from c where k <> 'list' and n > 0 and m <> 1",
     "p6_wide": _CELLS + f"select feature_id, {_WIDE}, list_sort(coalesce(list(attr || case when m = 1 then '=' || t else '' end) filter (attr not in ({_NAMES})), [])) as other from c group by feature_id",
     "p6_latest": _CELLS + f", l as (select feature_id, attr, v, t from e where v is not null qualify row_number() over (partition by feature_id, attr order by loaded_at desc nulls last, v desc) = 1) select c.feature_id, {_LATEST}, list_sort(coalesce(list(c.attr || coalesce('=' || l.v, '')) filter (c.attr not in ({_NAMES})), [])) as other from c left join l using (feature_id, attr) group by c.feature_id",
-    "p7_found": _CHAINS + "select tax, kind, top, steps from found where kind <> 'root'",
-    "p7_paths": _CHAINS + _PATHS.replace(" end path", " else '' end path") + ", kind from found",
-    "p7_descendants": _CHAINS + "select ancestor, tax as descendant, t.i - 1 as distance from found, unnest(way) with ordinality as t(ancestor, i) where kind = 'root' and t.i > 1",
-    "p7_gi": _CHAINS + f", paths as ({_PATHS} from found where kind = 'root') select g.gi, g.tax, root, depth, path from (select distinct gi, tax from gi_tax) g left join paths on paths.tax = g.tax",
+    "p7_found": CHAINS + "select tax, kind, top, steps from found where kind <> 'root'",
+    "p7_paths": CHAINS + PATHS.replace(" end path", " else '' end path") + ", kind from found",
+    "p7_descendants": CHAINS + "select ancestor, tax as descendant, t.i - 1 as distance from found, unnest(way) with ordinality as t(ancestor, i) where kind = 'root' and t.i > 1",
+    "p7_gi": CHAINS + f", paths as ({PATHS} from found where kind = 'root') select g.gi, g.tax, root, depth, path from (select distinct gi, tax from gi_tax) g left join paths on paths.tax = g.tax",
 }

@@ -359,7 +359,6 @@ QUERIES = {
     )
 } | {
     "q_intervals": _interval_query(),
-    "q_intervals_exact": _interval_query(method="exact"),
     "q_intervals_strand": _interval_query(same_strand=True),
     "q_intervals_strand_windows": _interval_query(same_strand=True, stranded_windows=True),
     "q_intervals_windows": _interval_query(stranded_windows=True),
@@ -425,7 +424,6 @@ SQL = {
     "q_study_chain": "select chr, count(*) tally from gwas where study <> 1204 and snp_id in (select snp_id from gwas where study = 1204 and score > 0.9 and not isnan(score)) group by 1",
     "q_feature_genes": "select b.start_pos - a.start_pos \"start\", b.end_pos - a.start_pos \"end\", a.line_id \"A__line_id\", b.line_id \"B__line_id\" from gff a join gff b on a.seqname = b.seqname and b.end_pos >= a.start_pos and b.start_pos <= a.end_pos and coalesce(a.strand = 1, false) = coalesce(b.strand = 1, false) where a.feature_type = 'gene' and b.feature_type = 'exon' and a.start_pos <= a.end_pos and b.start_pos <= b.end_pos",
     "q_intervals": _pairs([("true", 100, 50, False)]),
-    "q_intervals_exact": _pairs([("true", 100, 50, False)]),
     "q_intervals_strand": _pairs(_BOTH_STRANDS),
     "q_intervals_strand_windows": _pairs(_BOTH_WINDOWS),
     "q_intervals_windows": _pairs(_WINDOWS),

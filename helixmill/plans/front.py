@@ -30,6 +30,7 @@ AGGREGATES = {
 _CALL = re.compile(r"^\s*(\w+)\s*\((.*)\)\s*$", re.S)
 _ALIAS = re.compile(r"^(.*\S)\s+as\s+(`[^`]+`|\w+)\s*$", re.S | re.I)
 _TOKEN = re.compile(r"""'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*"|`[^`]*`|<=>|<=|>=|<>|!=|==|[<>=()]|[^\s'"`<>=!()]+|!|\s+""")
+_SIGN = re.compile(r"""^(?:'[^\w\s']+'|"[^\w\s"]+")$""")
 _COMPARE = {"<", "<=", ">", ">=", "=", "==", "!=", "<>", "<=>"}
 _ORDERED = {"<", "<=", ">", ">="}
 
@@ -121,6 +122,9 @@ def _atom(atom: list[str]) -> str:
     sides = ["".join(atom[a + 1 : b]).strip() for a, b in zip([-1, *at], [*at, len(atom)])]
     if len(at) >= 2 and all(o in _ORDERED for o in ops):
         return "(" + " and ".join(f"{sides[i]} {o} {sides[i + 1]}" for i, o in enumerate(ops)) + ")"
+    if len(at) == 1 and ops[0] in ("=", "!=", "<>", "<=>") and sides[0] and _SIGN.match(sides[1]):
+        # a strand may be kept as a number and be asked for by its sign
+        sides[0] = f"cast({sides[0]} as string)"
     return sides[0] + "".join(f" {o} {s}" for o, s in zip(ops, sides[1:]))
 
 

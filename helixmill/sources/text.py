@@ -109,6 +109,17 @@ def add_columns(df: DataFrame, extra: DataFrame, order: str | None = None) -> Da
     return a.join(b, "__n").orderBy("__n").select(*[F.col(f"`{c}`") for c in [*df.columns, *new]])
 
 
+def has_column(df: DataFrame, name: str) -> bool:
+    """Whether a table has a column, in this spelling."""
+    return name in df.columns
+
+
+def append_nulls(df: DataFrame, n: int, null_fill: str = "native") -> DataFrame:
+    """The table with ``n`` rows more, of nulls; with ``null_fill='zero'`` of zeros and empty strings."""
+    empty = df.sparkSession.range(n).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in df.schema])
+    return df.unionByName(empty.fillna(0).fillna("") if null_fill == "zero" else empty)
+
+
 def _numbered(df: DataFrame, order: str | None) -> DataFrame:
     from pyspark.sql.window import Window
 

@@ -54,8 +54,8 @@ def test_partition_union(spark, tmp_path):
 def pairs(spark, a, b, **kw):
     x = spark.createDataFrame([("c", *r, i) for i, r in enumerate(a)], IV)
     y = spark.createDataFrame([("c", *r, i) for i, r in enumerate(b)], IV)
-    kw = {"left": 0, "right": 0, "bin_width": 16} | kw
-    both = [sorted((r.A__id, r.B__id, r.start, r.end) for r in jn.interval_join(x, y, method=m, **kw).collect()) for m in ("exact", "binned")]
+    kw = {"left": 0, "right": 0} | kw
+    both = [sorted((r.A__id, r.B__id, r.start, r.end) for r in jn.interval_join(x, y, bin_width=w, **kw).collect()) for w in (4, 1 << 14)]
     assert both[0] == both[1]
     return both[0]
 
@@ -71,7 +71,20 @@ def test_interval_cases(spark):
     assert pairs(spark, [(None, 5, 1)], [(1, 2, 1)]) == []
 
 
-@pytest.mark.parametrize("seed", range(3))
+def test_intervals_of_all_lengths(spark):
+    """Long intervals take wider bins: few copies, the same pairs; the result can be had in order."""
+    rnd = random.Random(9)
+    mk = lambda n: [(s := rnd.randrange(-(10**6), 10**6), s + 4 ** rnd.randrange(12) - 1, 1) for _ in range(n)]
+    a, b = mk(150), mk(150)
+    x, y = (spark.createDataFrame([("c", *r, i) for i, r in enumerate(z)], IV) for z in (a, b))
+    got = jn.interval_join(x, y, 3, 5, bin_width=16, ordered=True).collect()
+    assert sorted((r.A__id, r.B__id) for r in got) == [(i, j) for i, p in enumerate(a) for j, q in enumerate(b) if q[1] >= p[0] - 3 and q[0] <= p[1] + 5]
+    assert [(r.start, r.end) for r in got] == sorted((r.start, r.end) for r in got)
+    marked = jn._leveled(x, "a", F.col("start"), F.col("end"), 16)
+    assert jn._binned(marked, "a", jn._levels(marked, "a"), 16).groupBy("id").count().agg(F.max("count")).first()[0] <= 3 * 12
+
+
+@pytest.mark.parametrize("seed", range(2))
 def test_interval_random(spark, seed):
     rnd = random.Random(seed)
     mk = lambda n: [(s := rnd.randrange(-200, 400), s + rnd.randrange(0, 60), rnd.choice([1, -1, 0])) for _ in range(n)]
@@ -134,6 +147,32 @@ def test_bitsets(spark):
     assert sum(r[0] for r in bs.merge_bitmaps(m, "&").select(F.bitmap_count("bitmap")).collect()) == 7
 
 
+def test_bitmaps_decode_and_combine(spark):
+    a, b = [0, 1, 2, 32768, 32769, 70000, 10**9], [1, 3, 32768, 70001, 10**9, 200000]
+    both = bits(spark, a, b)
+    maps = bs.to_bitmaps(both)
+    assert sorted(map(tuple, bs.from_bitmaps(maps).collect())) == sorted(map(tuple, both.collect()))
+    x, y = (maps.filter(f"set_id = {i}").select("bucket", "bitmap") for i in (0, 1))
+    pos = lambda d: {r.pos for r in bs.from_bitmaps(d.withColumn("set_id", F.lit(1))).collect()}
+    for op, want in (("&", {*a} & {*b}), ("|", {*a} | {*b}), ("^", {*a} ^ {*b}), ("-", {*a} - {*b})):
+        assert pos(bs.combine_bitmaps(op, x, y)) == want
+    for size in (0, 1, 2, 32769, 32770, 70001):
+        assert pos(bs.combine_bitmaps("!", x, size=size)) == {*range(size)} - {*a}
+    with pytest.raises(ValueError):
+        bs.combine_bitmaps("!", x)
+
+
+def test_phi_in_tiles(spark, monkeypatch):
+    """Sets of several blocks give the pairs that one block gives."""
+    rnd = random.Random(3)
+    both = bits(spark, *[[rnd.randrange(60) for _ in range(rnd.randrange(1, 30))] for _ in range(12)])
+    key = lambda d: sorted(map(tuple, d.collect()))
+    one = key(bs.phi(both)), key(bs.overlap_counts(both)), key(bs.best_phi(both))
+    assert len(one[0]) == 66
+    monkeypatch.setattr(bs, "TILE", 4)
+    assert (key(bs.phi(both)), key(bs.overlap_counts(both)), key(bs.best_phi(both))) == one
+
+
 def test_runs_and_spans(spark):
     d = spark.createDataFrame([("a", 0, 1, 31), ("a", 1, 0, 3), ("a", 2, 1, 77)], "s string, o int, b int, n int")
     r = bs.from_runs(d, "s", "o", "b", "n")
@@ -150,11 +189,9 @@ def test_phi_and_monte_carlo(spark):
     assert bs.phi(bits(spark, [0, 1], [0]), 2).first().phi is None
     a, b = (bs.random_bitset(spark, 20, 3000, 30, s) for s in (1, 2))
     r = bs.mc_overlap(a, b, 50, 3).first()
-    assert r.n == 50 and 0 <= r.n_at_least <= 50 and tuple(bs.mc_overlap(a, b, 50, 3).first()) == tuple(r)
+    assert r.n == 50 and 0 <= r.n_at_least <= 50 and tuple(bs.mc_overlap(a.repartition(3), b, 50, 3).first()) == tuple(r)
     sets = [{p for s, e in d.collect() for p in range(s, e + 1)} for d in (a, b)]
     assert r.observed == len(sets[0] & sets[1])
-    spread = bs.mc_overlap(a, b, 10, 3, limit=0).first()
-    assert (spread.observed, spread.n) == (r.observed, 10) and 0 <= spread.n_at_least <= 10
     laid = bs._laid_out(a, 3, 1, 4).collect()
     for t in range(3):
         runs = sorted((x.start, x.end) for x in laid if x.trial == t)
@@ -197,6 +234,30 @@ def test_streams(spark, tmp_path):
     assert inc.windowed_counts(e, "ts", "k").count() == 3
 
 
+def test_more_commands(spark, tmp_path, capsys):
+    run = lambda *args: cli.run(spark, cli._parser().parse_args([str(a) for a in args]))
+    spark.createDataFrame([(7, 1), (7, 2), (8, 3)], "study int, snp_id int").write.partitionBy("study").parquet(str(tmp_path / "GWAS"))
+    spark.createDataFrame([(1, 10), (2, 10), (3, 11)], "snp_id int, gene_id int").write.parquet(str(tmp_path / "snp_consequences"))
+    spark.createDataFrame([(10, "g"), (10, "h"), (11, "g")], "gene_id int, GO_term string").write.parquet(str(tmp_path / "gene2GO"))
+    run("study-chain", "-d", tmp_path, "--study", 7, "--format", "tsv")
+    assert sorted(capsys.readouterr().out.split("\n")) == ["", "g\t1", "h\t1"]
+    bits(spark, [1, 2, 5], [2, 3]).write.parquet(str(tmp_path / "bits"))
+    run("bits", "--op", "^", "-d", tmp_path / "bits", "-l", 0, "-r", 1, "--format", "tsv")
+    assert sorted(capsys.readouterr().out.split()) == ["1", "3", "5"]
+    run("bits", "--op", "count", "-d", tmp_path / "bits", "--format", "tsv")
+    assert sorted(capsys.readouterr().out.strip().split("\n")) == ["0\t3\t6", "1\t2\t4"]
+    spark.createDataFrame([(0, 9), (20, 29)], "from_pos long, to_pos long").write.parquet(str(tmp_path / "iv"))
+    run("overlap-test", "-d1", tmp_path / "iv", "-d2", tmp_path / "iv", "-n", 3, "--format", "tsv")
+    assert capsys.readouterr().out.startswith("20\t3\t")
+
+
+def test_mixed_strand_conditions(spark):
+    """A numeric strand may be compared with its sign as text, as the request language allows."""
+    d = spark.createDataFrame([(1, "a"), (-1, "b"), (0, "c")], "strand int, x string")
+    got = run_query(spark, {"from": d, "select": "x", "where": "strand == 1 or strand == '+'"})
+    assert [r.x for r in got.collect()] == ["a"]
+
+
 def test_command_line(spark, tmp_path, capsys):
     spark.range(10).selectExpr("id % 3 as g", "id as x").write.parquet(str(tmp_path / "t"))
     run = lambda *args: cli.run(spark, cli._parser().parse_args([str(a) for a in args]))

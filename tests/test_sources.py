@@ -21,6 +21,7 @@ def test_gff(spark):
     assert len(r) == 3
     t, g, x = r
     assert (g.start, g.end, g.score, g.strand, g.ID, g.ont, g.level) == (100, 500, 0.0, 1, "g1", "B", None)
+    assert g.attributes["Name"] == ["Alpha; beta"] and "beta" not in g.attributes
     assert g.attributes["ont"] == ["A", "B"] and (t.strand, t.score, t.level) == (-1, 2.5, "2")
     assert x.end is None and x.strand == 0 and x.attributes == {}
     last = {z.chr + z.type: z for z in features.read_gff(spark, f("small.gff"), attr_mode="last").collect()}
@@ -30,6 +31,14 @@ def test_gff(spark):
     assert features.feature_lines(features.read_gff(spark, f("small.gff")).filter("type = 'mRNA'")).first()[0] == "chr1\t100\t400\tmRNA\t2.5"
 
 
+def test_attributes_as_columns(spark):
+    d = spark.createDataFrame([(1, 'ID=a;type=x;NAME="q;r";name=n;flag'), (2, None), (3, "."), (4, 'k "v w"; k = z;=e')], "id int, c string")
+    m = {r.id: r.attributes for r in features.with_attributes(d, "c").collect()}
+    assert m[1] == {"ID": ["a"], "type": ["x"], "NAME": ["q;r"], "name": ["n"], "flag": [""]} and m[2] == m[3] == {} and m[4] == {"k": ["v w", "z"]}
+    wide = features.lay_out(features.with_attributes(d, "c"))
+    assert wide.columns == ["id", "c", "ID_attr", "NAME", "flag", "k", "name_attr", "type"] and wide.filter("id = 4").first().k == "z"
+
+
 def test_bed_and_partitions(spark, tmp_path):
     d = features.read_bed(spark, f("small.bed"))
     assert [tuple(x) for x in d.orderBy("chr", "start").collect()] == [("chr1", 10, 20, "a", 5, 1), ("chr1", 30, 40, "b", 7, -1), ("chr2", 1, 2, "c", 0, 0)]
@@ -83,6 +92,8 @@ def test_taxonomy(spark, tmp_path):
     assert [tuple(r) for r in rec.collect()] == [("1/2/5", ">gi|12|ref a gi|10|b\n" + "A" * 40)]
     sinks.write_by_taxon(rec, str(tmp_path / "taxa"))
     assert os.listdir(tmp_path / "taxa").count("tax_path=1-2-5") == 1
+    sinks.write_by_taxon(rec, str(tmp_path / "tree"), depth=2)
+    assert os.path.isdir(tmp_path / "tree" / "t1=1" / "t2=2" / "tax_path=5")
 
 
 def test_delimited(spark, tmp_path):
@@ -113,19 +124,30 @@ def test_columns_and_sinks(spark, tmp_path):
     assert [(r.id, r.x, r.y) for r in got] == [(i, 2 * i, 3 * i) for i in range(50)]
     with pytest.raises(ValueError):
         text.add_columns(a, b.limit(3), "id")
+    assert text.append_nulls(a, 2).filter("id is null").count() == 2 and text.append_nulls(a, 1, "zero").filter("x = 0").count() == 2 and not text.has_column(a, "y")
     assert sinks.to_columns(a.orderBy("id").limit(2)) == {"id": [0, 1], "x": [0, 2]}
     assert sinks.json_lines(a.filter("id = 3")).first()[0] == '{"id":3,"x":6}'
     sinks.write_tsv(a, str(tmp_path / "t"))
     assert spark.read.csv(str(tmp_path / "t"), sep="\t").count() == 50
 
 
-def test_columnar(spark, tmp_path):
+def test_columnar(spark, tmp_path, monkeypatch):
     kinds = {"start": "UINT", "score": "DOUBLE", "label": "TEXT", "strand": "BYTE"}
     d = spark.createDataFrame([(c, i * 10, i / 4, f"n{i}", (-1) ** i) for c in ("chr1", "chr2") for i in range(5)], "chr string, start long, score double, label string, strand int")
     columnar.write_partitions(d, str(tmp_path / "p"), "chr", kinds, "start")
-    head, cols = columnar.read_header(str(tmp_path / "p" / "chr1"))
-    assert head["number_of_rows"] == "5" and [c["name"] for c in cols] == list(kinds)
-    got = columnar.read_partitions(spark, [str(tmp_path / "p" / c) for c in ("chr1", "chr2")])
-    assert got.count() == 10 and [tuple(r) for r in got.filter("start = 10").collect()] == [(10, 0.25, "n1", -1)] * 2
+    at = columnar.partition_folders(str(tmp_path / "p"))
+    head, cols = columnar.read_header(at[0])
+    assert sum(int(columnar.read_header(f)[0]["number_of_rows"]) for f in at) == 10 and [c["name"] for c in cols] == list(kinds)
+    for rows, mark in ((1 << 20, 1 << 22), (2, 3)):
+        monkeypatch.setattr(columnar, "RANGE_ROWS", rows)
+        monkeypatch.setattr(columnar, "MARK_BYTES", mark)
+        got = columnar.read_partitions(spark, at)
+        assert sorted(map(tuple, got.collect())) == sorted([(i * 10, i / 4, f"n{i}", (-1) ** i) for i in range(5)] * 2)
+    folder = str(tmp_path / "q")
+    columnar.write_partition(pd.DataFrame({"t": ["", "aé", "b" * 50, "c"]}), folder, {"t": "TEXT"})
+    marks = columnar._marks(folder, "t")
+    for lo in range(5):
+        for hi in range(lo, 5):
+            assert columnar.read_column(folder, "t", "TEXT", lo, hi, max(m for m in marks if m[0] <= lo)) == ["", "aé", "b" * 50, "c"][lo:hi]
     columnar.write_partition(pd.DataFrame({"v": np.array([4061912144])}), str(tmp_path / "u"), {"v": "UINT"})
     assert columnar.read_partitions(spark, [str(tmp_path / "u")]).first().v == 4061912144
