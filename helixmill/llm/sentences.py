@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -51,22 +52,29 @@ _SIGNS = "\u0900-\u0903\u093a-\u093c\u093e-\u094f\u0951-\u0957\u0962\u0963"
 # Parts of addresses are no words.
 _WORD = re.compile(rf"(?<![\w@.{_SIGNS}])[^\W\d_](?:[\w'’\-{_SIGNS}]|\.(?=\w))*+(?!@)")
 # Possessive repeats and the look-behind keep the work linear in long unbroken strings.
-_STOPPED = re.compile(rf"(?<![\w'’\-.{_SIGNS}])([^\W\d_](?:[\w'’\-{_SIGNS}]|\.(?=\w))*+)\.(?:(?=[,;:])|\s++(?=(\S{{1,4}})))")
+_STOPPED = re.compile(rf"(?<![\w'’\-.{_SIGNS}])([^\W\d_](?:[\w'’\-{_SIGNS}]|\.(?=\w))*+)\.(?:(?=[,;:])|\s++(?=(\S++)))")
 _OPENING = re.compile(r"(?:\A\s*+|\n\n|[!?]\s++)([^\W\d_](?:[\w'’\-])*)")
 _AMID = re.compile(r"[^\W\d_A-Z],?\s([^\W\d_](?:[\w'’\-])*)")
-TOTAL, LOW, NUM, CAP, START, MID = range(6)
+_NEXT = re.compile(r"[^\W_](?:[\w'’\-])*")
+TOTAL, LOW, NUM, CAP, START, MID, ORDINARY = range(7)
 
 
 def count_words(text: str, into: Counter) -> None:
-    """Add a text's evidence: every word, words with a stop by what follows, capital words at sure starts and amid sentences."""
-    for w in _WORD.findall(text):
+    """Add a text's evidence: every word, words with a stop by what follows (and whether the text also has the capital word that
+    does in small letters), capital words at sure starts and amid sentences."""
+    words = _WORD.findall(text)
+    for w in words:
         into[(TOTAL, w)] += 1
     if "." in text:
+        seen = set(words)
         for w, c in _STOPPED.findall(text):
             # a capital within the next few letters (mRNA) speaks for a sentence start as one in front does
             d = c.lstrip("“„«»‘‚‹「『（([【《〈\"'—–-¿¡")
             if c == "" or d:
-                into[(NUM if d[:1].isdigit() else LOW if d == "" or d.islower() else CAP, w)] += 1
+                kind = NUM if d[:1].isdigit() else LOW if d == "" or d[:4].islower() else CAP
+                into[(kind, w)] += 1
+                if kind == CAP and (n := _NEXT.match(d)) and n.group() != (small := n.group().lower()) and small in seen:
+                    into[(ORDINARY, w)] += 1
     for w in _OPENING.findall(_EMPTY_LINE.sub("\n\n", text)):
         if w[0].isupper():
             into[(START, w)] += 1
@@ -76,7 +84,13 @@ def count_words(text: str, into: Counter) -> None:
 
 
 _EMPTY_LINE = re.compile(r"\r?\n[ \t　]*\r?\n\s*")
-_MARKS = re.compile(r"[.!?…。！？｡।॥؟۔።။៕]+|;")
+# Every script's own terminators, by their Unicode property; without the Burmese comma-like sign and the dot leader, with the Tibetan
+# and the Sinhala signs, which the property lacks.
+_SIGNS_OF_ENDS = (frozenset(regex.findall(r"\p{Sentence_Terminal}", "".join(map(chr, (*range(0xD800), *range(0xE000, 0x20000)))))) - {"\u104a", "\u2024"}) | set("།༎෴")
+_ASKING = frozenset("!?‼⁇⁈⁉‽⸮")
+_IDEOGRAPHIC = frozenset("。！？｡．︒︕︖﹒﹖﹗")
+_SCRIPT = _SIGNS_OF_ENDS - _ASKING - _IDEOGRAPHIC - {"."}
+_MARKS = re.compile("[" + "".join(map(re.escape, sorted(_SIGNS_OF_ENDS | _IDEOGRAPHIC | {"…"}))) + "]+|;")
 _PROTECT = re.compile(r"[\"'“”„«»‘’‚‹›「」『』（）()\[\]【】《》〈〉〔〕—]")
 _PAIRS = {"“": "”", "„": "“”", "‘": "’", "‚": "‘’", "«": "»", "»": "«", "‹": "›", "›": "‹", "「": "」", "『": "』", "（": "）", "(": ")", "[": "]", "【": "】", "《": "》", "〈": "〉", "〔": "〕", '"': '"', "'": "'", "—": "—"}
 _SHUTS = frozenset("”“»«’‘」』）)]】》〉〔〕›‹\"'")
@@ -89,7 +103,6 @@ _BREAK = re.compile(r".*[\s(\[\"“«„‘（「『/。！？，、：；…぀
 _DEVANAGARI = re.compile(r"[\u0900-\u0963\u0966-\u097f](?:[\u0900-\u0963\u0966-\u097f.]*[\u0900-\u0963\u0966-\u097f])?\Z")
 _NUMBER = re.compile(r"^[\d.,:/-]*\d$")
 _DOTTED = re.compile(r"^(?:[^\W\d_]{1,2}\.)+[^\W\d_]{1,2}$")
-_NEXT = re.compile(r"[^\W_](?:[\w'’\-])*")
 
 
 def _protected(p: str) -> list[tuple[int, int]]:
@@ -121,7 +134,7 @@ def _protected(p: str) -> list[tuple[int, int]]:
             if at >= 0 and before.isspace():
                 out.append((stack[at][1], i))
                 shut(at)
-            elif at < 0 and not after.isspace() and (i == 0 or before.isspace() and not p[max(0, i - 64) : i].rstrip()[-1:].isalnum()):
+            elif at < 0 and not after.isspace() and (i == 0 or before.isspace() and not _token_before(p, i)[0][-1:].isalnum()):
                 push(c, i)
             continue
         if at >= 0 and not (c in "'\"" and before.isspace() and not after.isspace()):
@@ -181,7 +194,8 @@ class Evidence:
             elif source == self.of:
                 if bare > 0 and not low:
                     return False
-            elif stopped >= 20 and bare * 50 <= stopped and cap >= 0.9 * stopped and len(w) <= 5 and w[0].isupper():
+            elif stopped >= 20 and bare * 50 <= stopped and cap >= 0.9 * stopped and len(w) <= 5 and not w[0].islower():
+                # in a script without capitals, whatever letter follows counts as one
                 return True
         return listed
 
@@ -192,6 +206,20 @@ class Evidence:
             return True
         return num >= 3 and num * 2 >= low + num + cap
 
+    def names_follow(self, w: str) -> bool:
+        """Whether ``w`` stands with a stop only, before capital words that nothing shows to be ordinary: a title, or the like."""
+        total, low, num, cap = (self._known(k, w) for k in (TOTAL, LOW, NUM, CAP))
+        return len(w) > 1 and cap >= 20 and (low + num) * 10 <= cap and (total - cap) * 10 <= total and self._known(ORDINARY, w) * 50 <= cap
+
+    def closes(self, w: str) -> bool:
+        """Whether ``w``, written small, stands with a stop only and nothing but capital words follow, ordinary ones among them: it ends sentences."""
+        total, low, num, cap = (self._known(k, w) for k in (TOTAL, LOW, NUM, CAP))
+        return w[0].islower() and cap >= 20 and not low + num and (total - cap) * 50 <= total and self._known(ORDINARY, w) * 20 >= cap
+
+    def name(self, w: str) -> bool:
+        """Whether a capital word is rather seen amid sentences than at their starts."""
+        return self.of(MID, w) > self.of(START, w) or self._known(MID, w) > self._known(START, w)
+
     def always_stopped(self, w: str) -> bool:
         """Whether the corpus knows ``w`` with a stop only."""
         total, stopped = self._known(TOTAL, w), sum(self._known(k, w) for k in (LOW, NUM, CAP))
@@ -222,14 +250,27 @@ class Evidence:
 
 
 def _word_before(p: str, k: int) -> str:
-    """What stands unbroken before place ``k``, of its last 64 characters; of a Devanagari word, what is in Devanagari."""
-    near = p[max(0, k - 64) : k]
-    m = _BREAK.match(near)
+    """What stands unbroken before place ``k``; of a Devanagari word, what is in Devanagari."""
+    size, near, m = 64, "", None
+    while m is None and len(near) < k:
+        near = p[max(0, k - size) : k]
+        m = _BREAK.match(near)
+        size *= 2
     near = near[m.end() :] if m else near
     m = _DEVANAGARI.search(near)
     return m.group() if m else near
 
 
+def _token_before(p: str, k: int) -> tuple[str, int]:
+    """The last stretch without blanks before place ``k``, and where it begins."""
+    while k and p[k - 1].isspace():
+        k -= 1
+    at = k
+    while at and not p[at - 1].isspace():
+        at -= 1
+    return p[at:k], at
+
+
 def asked(text: str) -> set[str]:
     """The words a text may ask the corpus for: those before a single full stop that a blank follows, and those behind it."""
     out: set[str] = set()
@@ -268,8 +309,7 @@ def _stop_ends(p: str, k: int, j: int, ev: Evidence) -> bool:
         if d.islower():
             return not word.islower() and word.isalnum() and len(word) > 2
         if d.isupper():
-            lead = p[max(0, k - len(w) - 24) : k - len(w)].split()
-            if lead and lead[-1].lower() in ORDINAL_LEADS and w.isdigit() and len(w) <= 3:
+            if _token_before(p, k - len(w))[0].lower() in ORDINAL_LEADS and w.isdigit() and len(w) <= 3:
                 return ev.common(word) and not (c in _OPENS)
         return True
     abbr = ev.abbreviation(w) or (tail != w and tail != "" and ev.abbreviation(tail))
@@ -282,16 +322,22 @@ def _stop_ends(p: str, k: int, j: int, ev: Evidence) -> bool:
     initial = len(word) == 1 and p[at + 1 : at + 2] == "."
     if not abbr:
         # a word that never stands without a stop, before a word that nothing shows to start sentences
-        return not (d.isupper() and ev.always_stopped(w) and (initial or not ev.common(word)))
+        return not (d.isupper() and ev.always_stopped(w) and not (ev.closes(w) and not ev.name(word)) and (initial or not ev.common(word)))
     if not d.isupper():
         # scripts without capitals: a stop after an abbreviation stays with it
         return False
+    titled = len(word) > 1 and p[at + len(word) : at + len(word) + 1] == "."
+    if ev.names_follow(w) or ev.names_follow(tail):
+        # a title goes with the name; what is written small and no title may end a sentence before one
+        return w[0].islower() and titled and ev.names_follow(word)
     if w in TITLES and len(w) > 1 or tail in TITLES and len(tail) > 1:
         return False
-    two = p[max(0, k - 12) : k].split()[-2:]
-    if w in CLOSERS_OF_LISTS or len(two) == 2 and two[0] + two[1] in CLOSERS_OF_LISTS:
+    if ev.closes(w) and not initial and not ev.name(word):
         return True
-    if len(word) > 1 and word in TITLES and p[at + len(word) : at + len(word) + 1] == ".":
+    last, at_last = _token_before(p, k)
+    if w in CLOSERS_OF_LISTS or _token_before(p, at_last)[0] + last in CLOSERS_OF_LISTS:
+        return True
+    if titled and (word in TITLES or ev.names_follow(word)):
         return True
     # after one letter, an initial or a title, a name that often starts sentences is still a name
     return not initial and ev.common(word, small_only=len(w) == 1)
@@ -313,14 +359,17 @@ def _ends(p: str, run: str, k: int, e: int, inner: str, ev: Evidence) -> bool:
     dots = run.strip(".") == "" or run.strip("….") == ""
     if dots and (len(run) > 1 or "…" in run):
         return d.isupper() and (blank or "…" in run) and (not inner or blank)
-    if any(x in "。！？｡" for x in run):
+    if any(x in _IDEOGRAPHIC for x in run):
+        if run in "．﹒" and p[k - 1 : k].isdigit() and c.isdigit() and not blank:
+            return False
         if not inner:
             return True
         # brackets close a sentence unless a particle or a pause goes on with it; quotations go on unless a blank follows
         return not ("぀" <= c <= "ゟ" or c in ",，、;；:：") if inner in _ROUND else blank and (d.isupper() or _wide(d)) and c not in ",，、"
-    if any(x in "।॥؟۔።။៕" for x in run):
-        return not inner or inner in _ROUND and blank or d.isupper() and blank
-    if any(x in "!?" for x in run):
+    if any(x in _SCRIPT for x in run):
+        # a sign may stand twice, with a blank between
+        return c not in _SCRIPT and (not inner or inner in _ROUND and blank or d.isupper() and blank)
+    if any(x in _ASKING for x in run):
         if not blank:
             return not inner and _wide(c) and _wide(p[k - 1 : k] or " ")
         if inner:
@@ -438,13 +487,13 @@ def corpus_counts(prose: DataFrame) -> tuple[dict[str, tuple[int, ...]], DataFra
         if seen:
             yield send()
 
-    by = prose.mapInArrow(run, schema).groupBy("word").agg(*[F.sum(F.when(F.col("kind") == k, F.col("n")).otherwise(0)).alias(f"n{k}") for k in range(6)])
+    by = prose.mapInArrow(run, schema).groupBy("word").agg(*[F.sum(F.when(F.col("kind") == k, F.col("n")).otherwise(0)).alias(f"n{k}") for k in range(7)])
     by = checkpointed(by)
     all_ = by.agg(F.sum("n0")).first()[0] or 0
     often = F.col("n0") >= all_ * MIN_SHARE
     rows = by.filter(often).toArrow()
-    counts = np.stack([rows.column(f"n{k}").to_numpy() for k in range(6)], 1).tolist() if rows.num_rows else []
-    rare = by.filter(~often).select("word", F.array(*[f"n{k}" for k in range(6)]).alias("n"))
+    counts = np.stack([rows.column(f"n{k}").to_numpy() for k in range(7)], 1).tolist() if rows.num_rows else []
+    rare = by.filter(~often).select("word", F.array(*[f"n{k}" for k in range(7)]).alias("n"))
     return {w: tuple(c) for w, c in zip(rows.column("word").to_pylist(), counts)}, rare
 
 

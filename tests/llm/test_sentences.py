@@ -16,7 +16,7 @@ def corpus():
     count_words(LEARNT, c)
     out = {}
     for (kind, w), n in c.items():
-        out.setdefault(w, [0] * 6)[kind] = n
+        out.setdefault(w, [0] * 7)[kind] = n
     return out
 
 
@@ -40,6 +40,14 @@ CASES = [
     "“रुको। मत छुओ,” Osthol ने कहा। ¦डॉ. Osthol ने 19.04 मिली माँगा। ¦सूची किसने बदली?",
     "Πού είναι το αντίγραφο; ¦Βλ. σελ. 35 και εικ. 407. ¦«Τέλος. Κλείσε», είπε ο Osthol.",
     "ดัชนีของเราหายไป 67 แถวเมื่อวานนี้ ¦ดัชนีของเรา ¦โปรดดูหน้า 81 อีกครั้ง",
+    "ខ្ញុំទៅផ្សារ។ ¦អ្នកមកវិញ។",
+    "Ես գնում եմ։ ¦Նա գալիս է։",
+    "ང་འགྲོ་གི་ཡིན། ¦ཁྱེད་རང་ཡོང་། ། ¦དེ་རིང་།",
+    "እኔ እሄዳለሁ። ¦አንተ ትመጣለህ፧ ¦እሺ።",
+    "මම යමි෴ ¦ඔබ එන්න෴",
+    "ᠪᠢ ᠶᠠᠪᠤᠨᠠ᠃ ¦ᠴᠢ ᠢᠷᠡᠨᠡ᠃",
+    "သူသွားသည်။ ¦ငါလာသည်၊ နင်လာ။",
+    "値は３．５です．¦次は４です。",
     "A single\nline break goes on.\n\n¦No mark here\r\n \r\n¦Next one.",
 ]
 
@@ -114,7 +122,7 @@ def learn(*texts):
     for t in texts:
         count_words(t, c)
     for (kind, w), n in c.items():
-        out.setdefault(w, [0] * 6)[kind] = n
+        out.setdefault(w, [0] * 7)[kind] = n
     return out
 
 
@@ -139,3 +147,19 @@ def test_devanagari_stops():
     assert cut("<p>पृ. 61 देखें।", {}) == ["<p>पृ. 61 देखें।"]
     # counted whole, with its vowel sign, and known as an abbreviation before numbers
     assert cut("किंमत रु. ५०० आहे. बरं.", learn("रु. 7, रु. 8, रु. 9 फक्त.")) == ["किंमत रु. ५०० आहे.", "बरं."]
+
+
+def test_evidence_without_lists(monkeypatch):
+    """Titles, and abbreviations that close a sentence, are told from the corpus alone."""
+    for name in ("TITLES", "REFERENCES", "CLOSERS_OF_LISTS"):
+        monkeypatch.setattr(se, name, frozenset())
+    corpus = learn(*(f"So Zz. Ash{i} met Zz. Oak{i} at dawn. the tube, qqc. The box. the rack, v.p. Tues{i} came" for i in range(30)))
+    cut = lambda text: [text[a:b] for a, b in sentences(text, Evidence(corpus, text))]
+    assert cut("We met Zz. The Elm. It went.") == ["We met Zz. The Elm.", "It went."]
+    assert cut("Bring racks, qqc. Lorem came.") == ["Bring racks, qqc.", "Lorem came."]
+    assert cut("At 4 v.p. Zz. Ash stays.") == ["At 4 v.p.", "Zz. Ash stays."]
+
+
+def test_no_window_before_a_stop():
+    word = "x" * 5000
+    assert se._word_before(f"so {word}", 5003) == word and se._token_before(f"a{' ' * 200}", 201) == ("a", 0)
