@@ -111,9 +111,9 @@ def mix(docs: DataFrame, plans: list[SourcePlan], schedules: dict[str, Schedule]
     return out.orderBy("position", source, "repeat_no", key)
 
 
-def stock_of(docs: DataFrame, source: str = "source", size: str = "n_tokens") -> dict[str, tuple[int, int]]:
-    """Documents with tokens and their tokens, by source: as many rows as there are sources."""
-    rows = docs.filter(F.col(f"`{size}`") > 0).groupBy(F.col(f"`{source}`").alias("s")).agg(F.count("*").alias("c"), F.sum(f"`{size}`").alias("n"))
+def stock_of(docs: DataFrame, wanted: list[str], source: str = "source", size: str = "n_tokens") -> dict[str, tuple[int, int]]:
+    """Documents with tokens and their tokens, by source, of the sources ``wanted``: at most as many rows as these."""
+    rows = docs.filter((F.col(f"`{size}`") > 0) & F.col(f"`{source}`").isin(wanted)).groupBy(F.col(f"`{source}`").alias("s")).agg(F.count("*").alias("c"), F.sum(f"`{size}`").alias("n"))
     return {r["s"]: (r["c"], r["n"]) for r in rows.collect() if r["s"] is not None}
 
 
@@ -141,5 +141,5 @@ def size_and_plan(docs: DataFrame, weights: DataFrame, total: float | None = Non
     """
     sized = checkpointed(docs)
     config = read_weights(weights)
-    plans = plan_mix(config, stock_of(sized), total)
+    plans = plan_mix(config, stock_of(sized, [c[0] for c in config]), total)
     return sized, plans, ramp([(p.source, p.share, p.max_repeats) for p in plans if p.demand > 0], {p.source for p in plans if p.max_repeats > 1})

@@ -6,12 +6,14 @@ without a merge between or inside them is the last token. Following the stored t
 in proportion to its length, however long it is, and no merge is ever simulated.
 
 Whether two tokens can be neighbours is decided by undoing their merges, latest first, along the seam: had the two halves at
-the seam a merge of their own that comes earlier than the merge being undone, it would have happened instead.
+the seam a merge of their own that comes earlier than the merge being undone, it would have happened instead. Recurrence and
+test follow the public linear-time algorithm for byte-pair encoding (van Antwerpen and Neubeck, "So many tokens, so little time").
 """
 
 from __future__ import annotations
 
 import base64
+import hashlib
 from array import array
 from collections.abc import Iterable, Iterator
 
@@ -165,19 +167,22 @@ def load_encoder(path: str, pattern: str = PATTERN) -> Encoder:
     return Encoder(tokens, *splits(tokens), pattern)
 
 
-_ENCODERS: dict[int, Encoder] = {}
+_ENCODERS: dict[str, Encoder] = {}
 
 
 def shared_encoder(spark: SparkSession, path: str):
     """A function that gives this process's encoder; the vocabulary (a few MB at most, whatever the data) is broadcast."""
     tokens = read_ranks(path)
+    with open(path, "rb") as f:
+        name = hashlib.file_digest(f, "sha256").hexdigest()
     held = spark.sparkContext.broadcast((tokens, *splits(tokens)))
 
     def get() -> Encoder:
-        if id(held) not in _ENCODERS:
+        # a process may serve other vocabularies later: its encoder is known by what it was made of
+        if name not in _ENCODERS:
             _ENCODERS.clear()
-            _ENCODERS[id(held)] = Encoder(*held.value)
-        return _ENCODERS[id(held)]
+            _ENCODERS[name] = Encoder(*held.value)
+        return _ENCODERS[name]
 
     return get
 

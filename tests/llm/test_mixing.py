@@ -17,7 +17,7 @@ def docs(spark):
 def test_shares_and_repeats(spark, monkeypatch):
     monkeypatch.setattr(mx, "BUCKET_ROWS", 100)
     rows, df = docs(spark)
-    plans = mx.plan_mix(WEIGHTS, mx.stock_of(df))
+    plans = mx.plan_mix(WEIGHTS, mx.stock_of(df, [w[0] for w in WEIGHTS]))
     by = {p.source: p for p in plans}
     assert by["ghost"].demand == by["never"].demand == 0
     live = [(p.source, p.share, p.max_repeats) for p in plans if p.demand]
@@ -56,7 +56,7 @@ def test_demand_follows_the_schedule(spark):
 
 def test_limits(spark):
     _, df = docs(spark)
-    stock = mx.stock_of(df)
+    stock = mx.stock_of(df, [w[0] for w in WEIGHTS])
     plans = mx.plan_mix(WEIGHTS, stock, total=1000)
     assert abs(sum(p.demand for p in plans) - 1000) < 1e-6
     assert mx.mix(df.limit(0), plans).count() == 0
