@@ -146,6 +146,16 @@ def value_index(df: DataFrame, col: str) -> DataFrame:
     return df.filter(F.col(f"`{col}`").isNotNull()).groupBy(F.col(f"`{col}`").alias("value")).agg(F.count("*").alias("frequency"))
 
 
+def write_index(index: DataFrame, path: str) -> None:
+    """A value index in the order of its values, so that a lookup or a range reads few files, and totals only the frequencies."""
+    index.repartitionByRange("value").sortWithinPartitions("value").write.mode("overwrite").parquet(path)
+
+
+def find(index: DataFrame, value: object) -> DataFrame:
+    """The row of a value in an index; none where it is absent."""
+    return index.filter(F.col("value") == F.lit(value))
+
+
 def index_totals(index: DataFrame) -> DataFrame:
     """Of a value index: values seen once, distinct values, rows, highest frequency."""
     return index.agg(F.count_if(F.col("frequency") == 1).alias("n_unique"), F.count("*").alias("n_distinct"), F.coalesce(F.sum("frequency"), F.lit(0)).alias("n_total"), F.coalesce(F.max("frequency"), F.lit(0)).alias("max_frequency"))

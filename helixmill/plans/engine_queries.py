@@ -80,6 +80,19 @@ def q_hist_adaptive(spark: SparkSession, d: str) -> DataFrame:
     return hg.histogram(table(spark, d, "lineitem"), "l_extendedprice", adaptive=True)
 
 
+def q_hist_even(spark: SparkSession, d: str) -> DataFrame:
+    """Whether the adaptive bins hold all rows in shares that are equal within the promised rank error."""
+    h = q_hist_adaptive(spark, d).agg(F.count("*").alias("bins"), F.sum("count").alias("n"), F.min("count").alias("least"), F.max("count").alias("most"))
+    off = F.col("n") * 2 / hg.ACCURACY + 2
+    return h.select("bins", "n", ((F.col("least") >= F.col("n") / 25 - off) & (F.col("most") <= F.col("n") / 25 + off)).alias("even"))
+
+
+def q_scatter_all(spark: SparkSession, d: str) -> DataFrame:
+    """Whether the adaptive cells of two columns hold all rows, each cell within its bounds' order."""
+    s = q_scatter_adaptive(spark, d)
+    return s.agg(F.sum("count").alias("n"), F.bool_and((F.col("x0") <= F.col("x1")) & (F.col("y0") <= F.col("y1"))).alias("ordered"))
+
+
 def q_scatter(spark: SparkSession, d: str) -> DataFrame:
     return hg.scatter(table(spark, d, "lineitem"), "l_quantity", "l_extendedprice", 0, 50, 10, 0, 100000, 20)
 
@@ -174,6 +187,13 @@ def q_mc_overlap(spark: SparkSession, d: str) -> DataFrame:
     return bs.mc_overlap(s.filter("set_id = 'A'"), s.filter("set_id = 'R'"), 100, 7)
 
 
+def q_mc_observed(spark: SparkSession, d: str) -> DataFrame:
+    """The overlap that a Monte-Carlo test starts from, and whether its count of trials is one."""
+    s = bs.spans(_flags(spark, d))
+    got = bs.mc_overlap(s.filter("set_id = 'A'"), s.filter("set_id = 'R'"), 4, 7)
+    return got.select("observed", "n", F.col("n_at_least").between(0, F.col("n")).alias("counted"))
+
+
 def _dna(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.translate("text", FROM, TO).alias("seq"))
 
@@ -355,7 +375,7 @@ QUERIES = {
         q_group, q_project, q_aggregates, q_ranges, q_semi_once, q_semi_chain, q_in_values, q_gaps_of_orders, q_hist_uniform, q_hist_adaptive, q_scatter, q_scatter_adaptive, q_scatter_grid,
         q_frequencies, q_index_totals, q_at_least, q_filter_range, q_bits_minus, q_bits_counts, q_bits_spans, q_bits_next, q_bits_union, q_bitmap_counts, q_bits_overlap, q_phi, q_phi_union, q_phi_best,
         q_mc_overlap, q_kmers, q_kmers_plain, q_kmers_both, q_kmer_stats, q_kmer_histo, q_kmer_filter, q_kmer_query, q_kmer_intersect, q_kmer_merge, q_kmer_sequences, q_upsert, q_guess_types, q_bitmap_or, q_bitmap_and,
-        q_bits_contains, q_bits_insert, q_runs, q_value_index, q_heaviest_bin, q_range_lines, q_windows, q_study_chain, q_feature_genes,
+        q_bits_contains, q_bits_insert, q_runs, q_value_index, q_heaviest_bin, q_range_lines, q_windows, q_study_chain, q_feature_genes, q_hist_even, q_scatter_all, q_mc_observed,
     )
 } | {
     "q_intervals": _interval_query(),
@@ -373,6 +393,12 @@ _AR = "select pos from {0} where set_id = 'A'", "select pos from {0} where set_i
 _A_BITS, _R_BITS = (x.format(_FLAGS) for x in _AR)
 _OLD, _FIELD = "source = 'old_mbox'", "source = 'field_mail'"
 SQL = {
+    "q_hist_even": "select 25::bigint bins, count(*) n, true even from lineitem",
+    "q_scatter_all": "select count(*) n, true ordered from lineitem",
+    "q_mc_observed": f"select count(*) observed, 4::bigint n, true counted from ({_A_BITS} intersect {_R_BITS})",
+    "q_range_lines": "select printf('[\"%s\",%d,%d]', 'p_partkey', min(p_partkey), max(p_partkey)) as value from part union all select printf('[\"%s\",%d,%d]', 'p_size', min(p_size), max(p_size)) from part union all select printf('[\"%s\",%.6f,%.6f]', 'p_retailprice', min(p_retailprice), max(p_retailprice)) from part",
+    "q_guess_types": """with k as (select case when max(p_partkey) <= 255 then 'UBYTE' when max(p_partkey) <= 65535 then 'USHORT' else 'UINT' end a, case when max(p_size) <= 255 then 'UBYTE' else 'USHORT' end b, case when count(*) > 256 then 'TEXT' else 'CATEGORY' end c from part)
+      select 'p_partkey' as column, a kind from k union all select 'p_size', b from k union all select 'p_retailprice', 'FLOAT' from k union all select 'p_name', c from k""",
     "q_group": "select l_returnflag, count(*) tally, max(l_quantity) top from lineitem where l_quantity > 10 and l_quantity < 30 group by 1",
     "q_project": "select o_orderkey, o_totalprice * 2 as twice from orders where o_orderstatus = 'F' and not (o_custkey < 50 or o_custkey >= 900)",
     "q_aggregates": "select p_brand, count(*) n, sum(p_size)::bigint s, min(p_size) lo, max(p_size) hi, median(p_size)::double med, count(distinct p_type) kinds, round(avg(p_size), 6) mean, round(var_pop(p_size), 6) vp, round(var_samp(p_size), 6) vs, round(stddev_pop(p_size), 6) sp, round(stddev_samp(p_size), 6) ss, string_agg(p_size::varchar, ',' order by p_size::varchar) sizes from part group by 1",

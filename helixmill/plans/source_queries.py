@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from helixmill.functions import sequences as sq
 from helixmill.operators import bitsets as bs
+from helixmill.operators import histograms as hg
 from helixmill.operators import kmers as km
 from helixmill.operators import lookups
 from helixmill.operators.packed import ATTRIBUTES
@@ -282,10 +283,27 @@ def q_sets_equal(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([("A", "A", bs.same(a, a)), ("A", "R", bs.same(a, r))], "a string, b string, same boolean")
 
 
-def q_frequency_map(spark: SparkSession, d: str) -> DataFrame:
-    from helixmill.operators.histograms import frequencies
+def q_columns(spark: SparkSession, d: str) -> DataFrame:
+    """A small result as lists by column, and back."""
+    cols = sinks.to_columns(table(spark, d, "nation").select("n_nationkey", "n_name"))
+    return spark.createDataFrame(list(zip(*cols.values())), "n_nationkey int, n_name string")
+
+
+def q_rows_at(spark: SparkSession, d: str) -> DataFrame:
+    """Rows by their position."""
+    return text.rows_at(table(spark, d, "customer").select("c_custkey", "c_name"), [0, 5, 77, 10**9], "c_custkey")
+
 
-    return frequencies(table(spark, d, "orders"), "o_orderstatus", ["F", "O", "none"])
+def q_index_store(spark: SparkSession, d: str) -> DataFrame:
+    """A value index, stored in order: its totals, from the frequencies alone, and one value's row."""
+    at = scratch(spark)
+    hg.write_index(hg.value_index(table(spark, d, "lineitem"), "l_partkey"), at)
+    index = spark.read.parquet(at)
+    return hg.index_totals(index).crossJoin(F.broadcast(hg.find(index, 7).select(F.col("frequency").alias("of_7"))))
+
+
+def q_frequency_map(spark: SparkSession, d: str) -> DataFrame:
+    return hg.frequencies(table(spark, d, "orders"), "o_orderstatus", ["F", "O", "none"])
 
 
 QUERIES = {
@@ -293,7 +311,7 @@ QUERIES = {
     for f in (
         q_delimited, q_one_column, q_key_values, q_gff_features, q_gff_words, q_gff_lines, q_gff_partitions, q_attributes, q_bed, q_obo_terms, q_obo_json, q_fasta, q_fastq, q_taxonomy_files, q_split_taxa, q_header_gi,
         q_column_files, q_json_file, q_tsv_file, q_json_lines, q_kmer_store, q_kmer_codes, q_bit_words, q_strands, q_loader_columns, q_partitions, q_study_partition, q_bitmap_decode, q_bitmap_bytes, q_set_arrays, q_sets_equal,
-        q_frequency_map,
+        q_frequency_map, q_columns, q_rows_at, q_index_store,
     )
 } | {"q_bitmap_intersect": _bitmap_query("&"), "q_bitmap_unite": _bitmap_query("|"), "q_bitmap_xor": _bitmap_query("^"), "q_bitmap_minus": _bitmap_query("-"), "q_bitmap_not": _bitmap_query("!")}
 
@@ -361,5 +379,8 @@ SQL = {
     "q_bitmap_bytes": "select l_returnflag set_id, 4096 * count(distinct (l_orderkey + 32767) // 32768) as bytes from lineitem group by 1",
     "q_set_arrays": "select l_suppkey set_id, array_to_string(list_sort(list_distinct(list(l_linenumber))), ',') positions from lineitem group by 1",
     "q_sets_equal": f"select 'A' a, 'A' b, true same union all select 'A', 'R', not exists (({_A_POS} except {_R_POS}) union all ({_R_POS} except {_A_POS}))",
+    "q_columns": "select n_nationkey, n_name from nation",
+    "q_rows_at": "select * from (select row_number() over (order by c_custkey) - 1 as position, c_custkey, c_name from customer) where position in (0, 5, 77)",
+    "q_index_store": "with i as (select l_partkey, count(*) f from lineitem group by 1) select count(*) filter (f = 1) n_unique, count(*) n_distinct, sum(f)::bigint n_total, max(f) max_frequency, (select f from i where l_partkey = 7) of_7 from i",
     "q_frequency_map": "select s o_orderstatus, count(o_orderkey) as count from (values ('F'), ('O'), ('none')) t(s) left join orders on o_orderstatus = s group by 1",
 }

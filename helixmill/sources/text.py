@@ -120,6 +120,11 @@ def append_nulls(df: DataFrame, n: int, null_fill: str = "native") -> DataFrame:
     return df.unionByName(empty.fillna(0).fillna("") if null_fill == "zero" else empty)
 
 
+def rows_at(df: DataFrame, positions: list[int], order: str | None = None) -> DataFrame:
+    """The rows at the given 0-based positions in the order of ``order``, or as read, with their ``position``; others are none."""
+    return _numbered(df, order).filter(F.col("__n").isin(list(positions))).select(F.col("__n").alias("position"), *[F.col(f"`{c}`") for c in df.columns])
+
+
 def _numbered(df: DataFrame, order: str | None) -> DataFrame:
     from pyspark.sql.window import Window
 

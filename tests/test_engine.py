@@ -130,6 +130,7 @@ def bits(spark, *sets):
 
 
 def test_bitsets(spark):
+    # Two example sets
     a, b = [1, 2, 4, 5, 77, 78, 899, 7654], [1, 2, 3, 4, 5, 77, 899, 7654]
     both = bits(spark, a, b)
     x, y = both.filter("set_id = 0"), both.filter("set_id = 1")
