@@ -54,14 +54,18 @@ def cancel(cell: np.ndarray, cand: np.ndarray, total: np.ndarray, votes: np.ndar
     return cell[last], cand[last], t, np.maximum(2 * v[last] - all_, 0), at[last]
 
 
-def sketch(df: DataFrame, keys: list[str], item: str, weight: str | None, rows: int, width: int) -> DataFrame:
+def _of(item: str | Column) -> Column:
+    return (F.col(f"`{item}`") if isinstance(item, str) else item).cast("string")
+
+
+def sketch(df: DataFrame, keys: list[str], item: str | Column, weight: str | None, rows: int, width: int) -> DataFrame:
     """Cells of each group: the keys, ``row``, ``cell``, ``total``, ``candidate``, ``votes``.
 
     Null items, and null or non-positive weights, don't count; null keys form groups of their own; repeated rows count each
-    time. An item is any string, the empty one too. Map tasks send at most rows x width cells per group and load of HELD_CELLS.
+    time. ``item`` is a column or an expression of any string, the empty one too. Map tasks send at most rows x width cells per group and load of HELD_CELLS.
     """
     wt = F.col(f"`{weight}`").cast("long") if weight else F.lit(1).cast("long")
-    it = F.col(f"`{item}`").cast("string")
+    it = _of(item)
     src = df.select(*[F.col(f"`{c}`") for c in keys], it.alias("__i"), wt.alias("__w")).filter("__i is not null and __w > 0")
     src = src.select("*", F.xxhash64("__i").alias("__h"), *[cell_of(F.col("__i"), r, width).alias(f"__c{r}") for r in range(rows)])
     schema = T.StructType([*_fields(src, keys), T.StructField("row", T.IntegerType()), T.StructField("cell", T.IntegerType()), T.StructField("total", T.LongType()), T.StructField("candidate", T.StringType()), T.StructField("votes", T.LongType())])
@@ -176,29 +180,31 @@ def width_for(share: float) -> int:
 
 
 def once(df: DataFrame, keys: list[str], same: list[str]) -> DataFrame:
-    """Rows that are equal in ``keys`` and ``same`` once, laid out by ranges of the keys and a hash of the rest.
+    """The distinct rows of the columns ``keys`` and ``same``, laid out by ranges of the keys and a hash of the rest.
 
     A group lies in as few partitions as its rows fill and a partition holds few groups, so tasks that sketch the result
     send few cells; a group of a third of all rows spreads over a third of the partitions.
     """
-    cols = [F.col(f"`{c}`") for c in keys]
-    rest = [F.col(f"`{c}`") for c in same]
+    cols, rest = [[F.col(f"`{c}`") for c in names] for names in (keys, same)]
+    # the hash is made anew behind the shuffle, so it is not sent; its name lets the planner see that rows lie by it
     h = F.xxhash64(*rest)
-    return df.withColumn("__h", h).repartitionByRange(*cols, "__h").groupBy(*cols, "__h", *rest).agg(*[F.first(f"`{c}`").alias(c) for c in df.columns if c not in {*keys, *same}]).drop("__h")
+    laid = df.select(*cols, *rest).repartitionByRange(*cols, h).withColumn("__h", h)
+    return laid.groupBy(*cols, "__h", *rest).agg(F.lit(1).alias("__one")).drop("__h", "__one")
 
 
-def frequent(df: DataFrame, keys: list[str], item: str, weight: str | None, share: float, rows: int = 2, width: int | None = None) -> DataFrame:
+def frequent(df: DataFrame, keys: list[str], item: str | Column, weight: str | None, share: float, rows: int = 2, width: int | None = None) -> DataFrame:
     """Candidates for ``share`` of their group's weight with sure bounds; see ``sketch`` for what counts."""
     width = width or width_for(share)
     return candidates(checkpointed(sketch(df, keys, item, weight, rows, width)), keys, share, rows, width)
 
 
-def frequent_exact(df: DataFrame, keys: list[str], item: str, weight: str | None, share: float, rows: int = 2, width: int | None = None, same: list[str] | None = None) -> DataFrame:
+def frequent_exact(df: DataFrame, keys: list[str], item: str | Column, weight: str | None, share: float, rows: int = 2, width: int | None = None, same: list[str] | None = None) -> DataFrame:
     """Items with at least ``share`` of their group's weight, all of them: the keys and ``item``.
 
     The sketch's bounds decide. One more pass over the data counts the candidates whose bounds span the threshold, and the
     items all of whose cells may hide a heavy one besides the candidate; it filters its rows by these before all else.
-    Rows equal in the keys and in the columns ``same`` count once; without ``same`` repeated rows count each time.
+    Rows equal in the keys and in the columns ``same``, which hold all that item and weight are made of, count once; without
+    ``same`` repeated rows count each time.
     """
     width = width or width_for(share)
     cells = checkpointed(sketch(once(df, keys, same) if same else df, keys, item, weight, rows, width))
@@ -210,7 +216,7 @@ def frequent_exact(df: DataFrame, keys: list[str], item: str, weight: str | None
     hide = checkpointed(hiding(cells, keys, share, rows))
     wt = F.col(f"`{weight}`").cast("long") if weight else F.lit(1).cast("long")
     rest = [c for c in same or [] if c not in keys]
-    rows_ = df.select(*cols, F.col(f"`{item}`").cast("string").alias("__item"), wt.alias("__w"), *[F.col(f"`{c}`").alias(f"__s{i}") for i, c in enumerate(rest)]).filter("__item is not null and __w > 0")
+    rows_ = df.select(*cols, _of(item).alias("__item"), wt.alias("__w"), *[F.col(f"`{c}`").alias(f"__s{i}") for i, c in enumerate(rest)]).filter("__item is not null and __w > 0")
 
     def heavy(hit: DataFrame) -> DataFrame:
         if same:

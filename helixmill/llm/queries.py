@@ -43,19 +43,18 @@ DELIVERY = ["batch_no", "seq", "kmer_count"]
 
 
 def _kmers(spark: SparkSession, d: str) -> DataFrame:
-    """Usable k-mers with their canonical form as ``kmer``, deliveries as often as they came."""
-    rows = table(spark, d, "kmers").select("run_id", *DELIVERY, fq.canonical(F.col("seq")).alias("kmer"))
-    return rows.filter("kmer_count is not null and kmer is not null")
+    """Usable k-mers as they were delivered."""
+    return table(spark, d, "kmers").select("run_id", *DELIVERY).filter(F.col("kmer_count").isNotNull() & F.col("seq").rlike("^[ACGTacgt]+$"))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return fq.frequent_exact(_kmers(spark, d), ["run_id"], "kmer", "kmer_count", 0.005, same=DELIVERY).withColumnRenamed("item", "seq")
+    return fq.frequent_exact(_kmers(spark, d), ["run_id"], fq.canonical(F.col("seq")), "kmer_count", 0.005, same=DELIVERY).withColumnRenamed("item", "seq")
 
 
 def p3_frequent(spark: SparkSession, d: str) -> DataFrame:
     """Frequent k-mers per run and (run_id null) over all runs, with bounds of their counts, from one set of cells."""
     rows, width = 2, fq.width_for(0.002)
-    cells = checkpointed(fq.sketch(fq.once(_kmers(spark, d), ["run_id"], DELIVERY), ["run_id"], "kmer", "kmer_count", rows, width))
+    cells = checkpointed(fq.sketch(fq.once(_kmers(spark, d), ["run_id"], DELIVERY), ["run_id"], fq.canonical(F.col("seq")), "kmer_count", rows, width))
     every = checkpointed(fq.merge(cells.withColumn("run_id", F.lit(None).cast("long")), ["run_id"]))
     return fq.candidates(cells, ["run_id"], 0.005, rows, width).unionByName(fq.candidates(every, ["run_id"], 0.002, rows, width)).withColumnRenamed("item", "seq")
 
@@ -97,9 +96,10 @@ def p10_sentences(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (p1_found, p1_percentiles, p1_days, p3_found, p3_frequent, p8_ids, p9_mix, p9_shares, p10_found, p10_sentences)}
 
 _RC = "reverse(translate({s}, 'ACGT', 'TGCA'))"
+_COUNTS = f"""with u as (select distinct run_id, batch_no, seq, kmer_count from kmers where kmer_count is not null and regexp_full_match(seq, '[ACGTacgt]+')),
+        c as (select run_id, least(upper(seq), {_RC.format(s='upper(seq)')}) seq, sum(kmer_count) n from u group by 1, 2),
+        f as (select run_id, seq, n::bigint n from (select *, sum(n) over (partition by run_id) total from c) where n >= 0.005 * total)"""
 SQL = {
     "p1_found": "select study, chr from gwas where chr is not null and isfinite(score) group by study, chr having count(*) >= 30 and median(score) > 0.45",
-    "p3_found": f"""with u as (select distinct run_id, batch_no, seq, kmer_count from kmers where kmer_count is not null and regexp_full_match(seq, '[ACGTacgt]+')),
-        c as (select run_id, least(upper(seq), {_RC.format(s='upper(seq)')}) seq, sum(kmer_count) n from u group by 1, 2)
-        select run_id, seq from (select *, sum(n) over (partition by run_id) total from c) where n >= 0.005 * total""",
+    "p3_found": f"{_COUNTS} select run_id, seq from f",
 }
