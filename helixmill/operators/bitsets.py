@@ -232,8 +232,13 @@ def overlap_counts(bits: DataFrame) -> DataFrame:
     return _overlaps(bits.filter("set_id is not null"))
 
 
-def _overlaps(bits: DataFrame, blocks: int | None = None) -> DataFrame:
-    maps = _tiles(to_bitmaps(bits), blocks or _blocks(bits))
+def _overlaps(bits: DataFrame) -> DataFrame:
+    maps = checkpointed(to_bitmaps(bits))
+    return _tile_counts(maps, _blocks(maps))
+
+
+def _tile_counts(maps: DataFrame, blocks: int) -> DataFrame:
+    maps = _tiles(maps.select("set_id", "bucket", "bitmap"), blocks)
     kind = maps.schema["set_id"].dataType
     schema = T.StructType([T.StructField("a", kind), T.StructField("b", kind), T.StructField("n11", T.LongType())])
 
@@ -270,15 +275,17 @@ def phi2(bits: DataFrame) -> DataFrame:
 
 
 def _phi(bits: DataFrame, size: int | None, over_union: bool) -> DataFrame:
-    bits = bits.filter("set_id is not null")
-    c = checkpointed(counts(bits))
+    # one pass over the bits gives the bitmaps with the counts of their sets
+    maps = bits.filter("set_id is not null").groupBy("set_id", F.bitmap_bucket_number("pos").alias("bucket"))
+    maps = checkpointed(maps.agg(F.bitmap_construct_agg(F.bitmap_bit_position("pos")).alias("bitmap"), F.count("*").alias("n"), F.max("pos").alias("top")))
+    c = maps.groupBy("set_id").agg(F.sum("n").alias("cnt"), (F.max("top") + 1).alias("size"))
     blocks = max(1, -(-c.count() // TILE))
     t = _tiles(c, blocks)
     one = t.select("lo", "hi", "block", F.col("set_id").alias("a"), F.col("cnt").alias("na"), F.col("size").alias("sa"))
     two = t.select("lo", "hi", F.col("block").alias("block_b"), F.col("set_id").alias("b"), F.col("cnt").alias("nb"), F.col("size").alias("sb"))
     # in a tile of two blocks a pair takes one set of each
     p = one.join(two, ["lo", "hi"]).filter((F.col("a") < F.col("b")) & ((F.col("lo") == F.col("hi")) | (F.col("block") != F.col("block_b"))))
-    p = p.join(_overlaps(bits, blocks), ["a", "b"], "left").withColumn("n11", F.coalesce("n11", F.lit(0)).cast("double"))
+    p = p.join(_tile_counts(maps, blocks), ["a", "b"], "left").withColumn("n11", F.coalesce("n11", F.lit(0)).cast("double"))
     n = F.col("na") + F.col("nb") - F.col("n11") if over_union else (F.lit(size) if size is not None else F.greatest("sa", "sb"))
     p = p.withColumn("n", n.cast("double")).withColumn("n10", F.col("na") - F.col("n11")).withColumn("n01", F.col("nb") - F.col("n11"))
     n00 = F.col("n") - F.col("n11") - F.col("n10") - F.col("n01")

@@ -107,7 +107,8 @@ def interval_join(
         overlap = (F.col("__be") >= F.col("__as") - before) & (F.col("__bs") <= F.col("__ae") + after)
         x = _leveled(x, "a", F.col("__as") - before, F.col("__ae") + after, bin_width)
         y = _leveled(y, "b", F.col("__bs"), F.col("__be"), bin_width)
-        x, y = _binned(x, "a", _levels(y, "b"), bin_width), _binned(y, "b", _levels(x, "a"), bin_width)
+        of_x, of_y = _levels(x, y)
+        x, y = _binned(x, "a", of_y, bin_width), _binned(y, "b", of_x, bin_width)
         on = (F.col("__ac") == F.col("__bc")) & (F.col("__al") == F.col("__bl")) & (F.col("__abin") == F.col("__bbin"))
         once = (F.col("__abin") == F.greatest("__afirst", "__bfirst")) & ((F.col("__alevel") == F.col("__al")) | (F.col("__blevel") == F.col("__bl")))
         j = x.join(y, on & overlap & once)
@@ -129,9 +130,11 @@ def _leveled(d: DataFrame, side: str, lo: Column, hi: Column, width: int) -> Dat
     return d.withColumn(f"__{side}level", F.least(level, F.lit(LEVELS - 1)))
 
 
-def _levels(d: DataFrame, side: str) -> list[int]:
-    """The levels a table has: at most LEVELS numbers."""
-    return [r[0] for r in d.select(f"__{side}level").distinct().collect()]
+def _levels(x: DataFrame, y: DataFrame) -> tuple[list[int], list[int]]:
+    """The levels of both tables, from one pass over their coordinates: at most LEVELS numbers each."""
+    both = x.select(F.lit(0).alias("side"), F.col("__alevel").alias("level")).unionByName(y.select(F.lit(1).alias("side"), F.col("__blevel").alias("level")))
+    got = [tuple(r) for r in both.distinct().collect()]
+    return [v for s, v in got if s == 0], [v for s, v in got if s == 1]
 
 
 def _binned(d: DataFrame, side: str, others: list[int], width: int) -> DataFrame:

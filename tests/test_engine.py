@@ -81,7 +81,7 @@ def test_intervals_of_all_lengths(spark):
     assert sorted((r.A__id, r.B__id) for r in got) == [(i, j) for i, p in enumerate(a) for j, q in enumerate(b) if q[1] >= p[0] - 3 and q[0] <= p[1] + 5]
     assert [(r.start, r.end) for r in got] == sorted((r.start, r.end) for r in got)
     marked = jn._leveled(x, "a", F.col("start"), F.col("end"), 16)
-    assert jn._binned(marked, "a", jn._levels(marked, "a"), 16).groupBy("id").count().agg(F.max("count")).first()[0] <= 3 * 12
+    assert jn._binned(marked, "a", list(range(jn.LEVELS)), 16).groupBy("id").count().agg(F.max("count")).first()[0] <= 3 * jn.LEVELS
 
 
 @pytest.mark.parametrize("seed", range(2))
