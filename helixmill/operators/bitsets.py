@@ -324,58 +324,143 @@ def random_bitset(spark: SparkSession, n: int = 25, top: int = 10_000, length: i
     return periods_and_gaps(d, ["k"], "from_pos", "to_pos").filter("kind = 'period'").select("from_pos", "to_pos")
 
 
-#: Buckets of the order in which a trial lays out the runs of a set.
-MC_BUCKETS = 4096
+#: Runs of ones, and as many of zeros, that a trial lays out at once.
+MC_PART = 1 << 18
 
 
-def mc_overlap(a: DataFrame, b: DataFrame, n: int, seed: int = 0, buckets: int = MC_BUCKETS) -> DataFrame:
+def mc_overlap(a: DataFrame, b: DataFrame, n: int, seed: int = 0, part: int = MC_PART) -> DataFrame:
     """Monte-Carlo overlap of two sets of disjoint inclusive intervals (from_pos, to_pos): (observed, n, n_at_least).
 
     Each of ``n`` trials shuffles the runs of ones and of zeros of both sets apart, zips them with a random phase, and counts
-    the overlap again; ``n_at_least`` is the number of trials with at least the observed overlap. Every run of every trial is
-    a row, so sets may have any size, and the answer to a seed does not depend on it.
+    the overlap again; ``n_at_least`` is the number of trials with at least the observed overlap. A shuffle depends on no more
+    than how many runs there are of each length, so these counts are sent to the tasks and no run is: a task lays out a part
+    of one trial at a time, at most ``part`` runs of each set, wherever it lies. So sets may have any size.
+
+    The lengths are the one thing the driver holds: d different ones take up d * d / 2 positions or more.
     """
-    from helixmill.operators.joins import interval_join
-
-    def overlap(x: DataFrame, y: DataFrame) -> DataFrame:
-        j = interval_join(x, y, 0, 0, chrom="trial")
-        shared = F.least("A__end", "B__end") - F.greatest("A__start", "B__start") + 1
-        return j.groupBy("A__trial").agg(F.sum(shared).alias("c")).withColumnRenamed("A__trial", "trial")
-
-    as_is = lambda d: d.select(F.lit(0).alias("trial"), F.col("from_pos").alias("start"), F.col("to_pos").alias("end"))
-    seen = overlap(as_is(a), as_is(b)).agg(F.coalesce(F.sum("c"), F.lit(0)).alias("observed"))
-    # the join looks at its sides before it runs
-    tries = overlap(checkpointed(_laid_out(a, n, seed, buckets)), checkpointed(_laid_out(b, n, seed + 1, buckets)))
-    every = a.sparkSession.range(n).select(F.col("id").cast("int").alias("trial")).join(tries, "trial", "left").select(F.coalesce("c", F.lit(0)).alias("c"))
+    from helixmill.operators.islands import periods_and_gaps
+
+    spark = a.sparkSession
+    ends = lambda d, side: d.select(F.lit(side).alias("side"), F.col("from_pos").cast("bigint").alias("from_pos"), F.col("to_pos").cast("bigint").alias("to_pos"))
+    # kept before the union, which renumbers partitions: runs that are not stored yet are told by the number of theirs
+    both = checkpointed(ends(a, 0)).unionByName(checkpointed(ends(b, 1)))
+    runs = checkpointed(periods_and_gaps(both, ["side"], "from_pos", "to_pos"))
+    sets = [(x, seed + side) for side, x in enumerate(_run_lengths(runs, 2))]
+    # the positions in both are those of each less those of the two together
+    either = periods_and_gaps(ends(runs.filter("kind = 'period'"), 0), ["side"], "from_pos", "to_pos").filter("kind = 'period'")
+    each = sum(int(x.ones @ x.n_ones) for x, _ in sets)
+    seen = either.agg((F.lit(each) - F.coalesce(F.sum(F.col("to_pos") - F.col("from_pos") + 1), F.lit(0))).alias("observed"))
+    # the parts are those of the set with more runs, each meets the parts of the other set that lie where it lies
+    (x, of_x), (y, of_y) = sorted(sets, key=lambda s: -s[0].size)
+    depth = x.depth(part)
+
+    def overlap(trial: int, no: int) -> int:
+        c = 0
+        for start, end in x.laid_out(trial, of_x, depth, no):
+            for first, last in y.laid_out(trial, of_y, y.depth(part), None, (int(start[0]), int(end[-1]))):
+                lo, hi = np.searchsorted(end, first[0], "right"), np.searchsorted(start, last[-1], "left")
+                c += int((_covered(first, last, end[lo:hi]) - _covered(first, last, start[lo:hi])).sum())
+        return c
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for u in batches:
+            units = [divmod(i, 1 << depth) for i in u.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in units], pa.int32()), pa.array([overlap(*i) for i in units], pa.int64())], ["trial", "c"])
+
+    every = _units(spark, n, depth).mapInArrow(run, "trial int, c long").groupBy("trial").agg(F.sum("c").alias("c"))
     # one row of the observed overlap meets one row a trial
     return every.crossJoin(F.broadcast(seen)).groupBy("observed").agg(F.count("*").alias("n"), F.count_if(F.col("c") >= F.col("observed")).alias("n_at_least"))
 
 
-def _laid_out(iv: DataFrame, trials: int, seed: int, buckets: int) -> DataFrame:
-    """(trial, start, end) of the runs of ones of a set after each trial's shuffle of its runs of ones and of zeros.
-
-    Runs are ordered by a hash; a run's place is the sum over the buckets of the order before its own, and within it.
+def _units(spark: SparkSession, trials: int, depth: int) -> DataFrame:
+    """A row for each part of each trial."""
+    n = max(0, trials) << depth
+    return spark.range(0, n, 1, max(1, min(n, 8 * spark.sparkContext.defaultParallelism)))
+
+
+def _covered(first: np.ndarray, last: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Positions below each of ``at`` in the sorted disjoint intervals [first, last)."""
+    before = np.concatenate(([0], np.cumsum(last - first)))
+    i = np.searchsorted(first, at, "right")
+    k = np.maximum(i - 1, 0)
+    return np.where(i > 0, before[k] + np.minimum(at, last[k]) - first[k], 0)
+
+
+class _Runs:
+    """How many runs of ones and of zeros a set has of each length; of zeros there are as many, that before the first one among them."""
+
+    def __init__(self, ones: np.ndarray, n_ones: np.ndarray, zeros: np.ndarray, n_zeros: np.ndarray) -> None:
+        self.ones, self.n_ones, self.zeros, self.n_zeros = ones, n_ones, zeros, n_zeros
+        self.size = int(n_ones.sum())
+
+    def depth(self, part: int) -> int:
+        """Halvings after which no part has more than ``part`` runs of ones."""
+        return max(0, -(-self.size // part) - 1).bit_length()
+
+    def laid_out(self, trial: int, seed: int, depth: int, no: int | None = None, within: tuple[int, int] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Starts and ends, exclusive, of the runs of ones by part, in order: of the part ``no``, or of the parts that meet positions ``within``.
+
+        A part comes out of halvings of the counts, each with random numbers of its own, so it is the same wherever it is asked for.
+        """
+        zero_first = np.random.default_rng([seed & ~(-1 << 64), trial]).integers(2)
+        stack = [(self.n_ones, self.n_zeros, 0, 0, 0)]
+        while stack:
+            n1, n0, level, k, at = stack.pop()
+            m, to = int(n1.sum()), at + int(self.ones @ n1) + int(self.zeros @ n0)
+            if not m or no is not None and no >> (depth - level) != k or within and (at >= within[1] or to <= within[0]):
+                continue
+            rng = np.random.default_rng([seed & ~(-1 << 64), trial, level + 1, k])
+            if level < depth:
+                left1, left0 = _drawn(rng, n1, m // 2), _drawn(rng, n0, m // 2)
+                mid = at + int(self.ones @ left1) + int(self.zeros @ left0)
+                stack += [(n1 - left1, n0 - left0, level + 1, 2 * k + 1, mid), (left1, left0, level + 1, 2 * k, at)]
+                continue
+            one, zero = np.repeat(self.ones, n1), np.repeat(self.zeros, n0)
+            rng.shuffle(one)
+            rng.shuffle(zero)
+            end = at + np.cumsum(one + zero) - (0 if zero_first else zero)
+            yield end - one, end
+
+
+def _drawn(rng: np.random.Generator, counts: np.ndarray, n: int) -> np.ndarray:
+    """Counts of ``n`` items drawn at random, without replacement, from so many items of each kind.
+
+    Each item is tossed for, then as many as are too many or missing are drawn of those that are in or out: any n are as likely.
     """
+    got = rng.binomial(counts, 0.5)
+    over = int(got.sum()) - n
+    pool = got if over > 0 else counts - got
+    picks = rng.choice(int(pool.sum()), abs(over), replace=False, shuffle=False) if over else np.zeros(0, np.int64)
+    moved = np.bincount(np.searchsorted(np.cumsum(pool), picks, "right"), minlength=len(counts))
+    return got - moved if over > 0 else got + moved
+
+
+def _run_lengths(runs: DataFrame, sides: int) -> list[_Runs]:
+    """The counts of each side of (side, kind, from_pos, to_pos); what lies before position 0 has no run of zeros before it."""
+    size = F.col("to_pos") - F.col("from_pos") + 1
+    lead = runs.filter("kind = 'period'").groupBy("side").agg(F.greatest(F.min("from_pos"), F.lit(0)).alias("n"))
+    t = runs.select("side", "kind", size.alias("n")).unionByName(lead.select("side", F.lit("gap").alias("kind"), "n"))
+    t = t.groupBy("side", (F.col("kind") == "period").alias("one"), "n").agg(F.count("*").alias("c")).toArrow()
+    side, one, n, c = (t.column(i).to_numpy() for i in range(4))
+    out = []
+    for i in range(sides):
+        own = [(side == i) & one, (side == i) & ~one]
+        order = [np.flatnonzero(w)[np.argsort(n[w])] for w in own]
+        out.append(_Runs(n[order[0]], c[order[0]], n[order[1]], c[order[1]]))
+    return out
+
+
+def _laid_out(iv: DataFrame, trials: int, seed: int, part: int) -> DataFrame:
+    """(trial, start, end) of the runs of ones of a set after each trial's shuffle of its runs of ones and of zeros."""
     from helixmill.operators.islands import periods_and_gaps
 
-    runs = checkpointed(periods_and_gaps(iv.select(F.lit(0).alias("k"), "from_pos", "to_pos"), ["k"], "from_pos", "to_pos"))
-    size = (F.col("to_pos") - F.col("from_pos") + 1).alias("n")
-    ones = runs.filter("kind = 'period'").select(F.col("from_pos").alias("id"), size)
-    lead = runs.filter("kind = 'period'").agg(F.min("from_pos").alias("n")).filter("n is not null").select(F.lit(-1).cast("long").alias("id"), "n")
-    zeros = runs.filter("kind = 'gap'").select(F.col("from_pos").alias("id"), size).unionByName(lead)
-
-    def ordered(d: DataFrame, salt: int, out: str) -> DataFrame:
-        d = d.withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(trials - 1))))
-        d = d.withColumn("u", F.shiftrightunsigned(F.xxhash64("id", "trial", F.lit(seed), F.lit(salt)), 11) / F.lit(float(1 << 53)))
-        d = d.withColumn("bucket", F.floor(F.col("u") * buckets))
-        front = Window.partitionBy("trial").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-        sums = d.groupBy("trial", "bucket").agg(F.sum("n").alias("s"), F.count("*").alias("c"))
-        sums = sums.select("trial", "bucket", F.coalesce(F.sum("s").over(front), F.lit(0)).alias("fs"), F.coalesce(F.sum("c").over(front), F.lit(0)).alias("fc"))
-        w = Window.partitionBy("trial", "bucket").orderBy("u", "id")
-        d = d.withColumn("r", F.row_number().over(w)).withColumn("b", F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-        return d.join(sums, ["trial", "bucket"]).select("trial", (F.col("r") + F.col("fc")).alias("rank"), F.col("n").alias(f"{out}_n"), (F.col("b") + F.col("fs")).alias(f"{out}_before"))
-
-    both = ordered(ones, 1, "one").join(ordered(zeros, 2, "zero"), ["trial", "rank"])
-    first = F.xxhash64("trial", F.lit(seed)) % 2 == 0
-    start = F.col("one_before") + F.col("zero_before") + F.when(first, F.col("zero_n")).otherwise(0)
-    return both.select("trial", start.alias("start"), (start + F.col("one_n") - 1).alias("end"))
+    x = _run_lengths(periods_and_gaps(iv.select(F.lit(0).alias("side"), "from_pos", "to_pos"), ["side"], "from_pos", "to_pos"), 1)[0]
+    depth = x.depth(part)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for u in batches:
+            for trial, no in (divmod(i, 1 << depth) for i in u.column(0).to_pylist()):
+                for start, end in x.laid_out(trial, seed, depth, no):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(start), trial, np.int32)), pa.array(start), pa.array(end - 1)], ["trial", "start", "end"])
+
+    return _units(iv.sparkSession, trials, depth).mapInArrow(run, "trial int, start long, end long")

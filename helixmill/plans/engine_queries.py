@@ -183,7 +183,7 @@ def q_phi_best(spark: SparkSession, d: str) -> DataFrame:
 
 def q_mc_overlap(spark: SparkSession, d: str) -> DataFrame:
     """Monte-Carlo overlap of the runs of two flags."""
-    s = bs.spans(_flags(spark, d))
+    s = bs.spans(_flags(spark, d).filter("set_id in ('A', 'R')"))
     return bs.mc_overlap(s.filter("set_id = 'A'"), s.filter("set_id = 'R'"), 100, 7)
 
 

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -201,6 +202,33 @@ def test_phi_and_monte_carlo(spark):
     assert bs.mc_overlap(a, a, 20, 1).first().n_at_least < 20 and bs.mc_overlap(a.limit(0), b, 5).first().observed == 0
 
 
+def test_monte_carlo_shuffles_counts_of_runs(spark):
+    """A trial is made from the counts of run lengths: no row a run and trial, the same runs in every part, each order as likely."""
+    a, b = (bs.random_bitset(spark, 400, 60000, 50, s) for s in (5, 6))
+    got = bs.mc_overlap(a, b, 30, 3, part=16)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "Window" not in plan and plan.count("Join") == 1
+    sets = [{p for s, e in d.collect() for p in range(s, e + 1)} for d in (a, b)]
+    laid = [{t: set() for t in range(30)} for _ in (a, b)]
+    for held, d, seed in zip(laid, (a, b), (3, 4)):
+        for r in bs._laid_out(d, 30, seed, 16).collect():
+            held[r.trial] |= set(range(r.start, r.end + 1))
+    seen = len(sets[0] & sets[1])
+    assert tuple(got.first()) == (seen, 30, sum(len(laid[0][t] & laid[1][t]) >= seen for t in range(30)))
+    x = bs._Runs(*(np.array(v) for v in ([1, 2, 9], [3, 2, 1], [4, 5], [5, 1])))
+    whole, seen = [], []
+    for trial in range(3000):
+        parts = list(x.laid_out(trial, 7, 2))
+        assert [p[0].tolist() for p in parts] == [s.tolist() for k in range(4) for s, _ in x.laid_out(trial, 7, 2, k)]
+        size = np.concatenate([e - s for s, e in parts])
+        assert sorted(size) == [1, 1, 1, 2, 2, 9]
+        seen.append(int(np.argmax(size)))
+        whole.append(tuple(size))
+    assert len(set(whole)) == 60 and all(400 < seen.count(i) < 600 for i in range(6))
+    at = np.array([3, 9, 25, 0, 6])
+    assert bs._covered(np.array([3, 10]), np.array([6, 20]), at).tolist() == [0, 3, 13, 0, 3]
+
+
 def test_kmers(spark):
     d = spark.createDataFrame([("ACGTNNNACGTA",), (None,), ("",), ("acg",)], "seq string")
     db = km.count(d, 4)
