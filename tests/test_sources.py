@@ -96,6 +96,19 @@ def test_taxonomy(spark, tmp_path):
     assert os.path.isdir(tmp_path / "tree" / "t1=1" / "t2=2" / "tax_path=5")
 
 
+def test_taxa_of_any_depth(spark, tmp_path):
+    """Paths longer than a folder's name may be; some differ only in their last taxon, some only look like numbers or days."""
+    deep = ["1/" + "/".join(str(1_000_000 + i) for i in range(n)) for n in (29, 30, 31, 32, 90, 900)]
+    deep += [deep[-1][:-1] + "x", "1/" + "\u00e9=" * 100, "1", "1/007", "1/2001/1/2"]
+    at = str(tmp_path / "deep")
+    rec = spark.createDataFrame([(p, f">{i}\nAC") for i, p in enumerate(deep)], "tax_path string, record string")
+    for _ in range(2):
+        sinks.write_by_taxon(rec, at, depth=1)
+    got = sinks.whole_paths(sinks.read_by_taxon(spark, at).filter("value like '>%'"), at).collect()
+    assert sorted((r.t1, r.tax_path, r.value) for r in got) == sorted(("1", p[2:].replace("/", "-"), f">{i}") for i, p in enumerate(deep) for _ in range(2))
+    assert max(len(x) for _, folders, _ in os.walk(at) for x in folders) <= 255
+
+
 def test_delimited(spark, tmp_path):
     (tmp_path / "t.tsv").write_text("# head\n1\ta\t0.5\n-3\tb\t\n70000\tc\t2e3\n")
     d = text.read_delimited(spark, str(tmp_path / "t.tsv"), text.parse_format("n:? s:TEXT x:?"))
